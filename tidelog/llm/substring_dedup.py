@@ -1,10 +1,10 @@
 """Substring deduplication on a log-structured fingerprint index.
 
 Every window of ``window`` consecutive words selects one anchor: the smallest of its
-``anchor``-word hashes (leftmost on ties). Equal windows select equal anchors, so only
-windows that share an anchor can be equal, and an index of anchors, about 2 / (window -
-anchor + 2) rows a word, stands for all windows. Consecutive windows with one anchor
-form a *span*, kept as one index row: (anchor hash, 128-bit digest of the span's whole
+``anchor``-word hashes. Equal windows select equal anchors, so only windows that share
+an anchor can be equal, and an index of anchors, about 2 / (window - anchor + 2) rows a
+word, stands for all windows. Consecutive windows with equal anchors (in repetitive text
+there may be many) form a *span*, kept as one index row: (anchor hash, 128-bit digest of the span's whole
 word sequence, doc_id, first window, windows).
 
 Index: a table bucketed and sorted by anchor hash. A batch is appended as one sorted,
@@ -55,20 +55,19 @@ def spans_of(texts: pa.Array, window: int, anchor: int) -> tuple[np.ndarray, ...
     one, two = WindowHash(h), WindowHash(mix(h ^ U(0x5851F42D4C957F2D)), WORD_BASE_2)
     n = len(h) - anchor + 1
     grams = one.at(np.arange(n), anchor)
-    chosen = np.empty(len(at), np.int64)
+    least = np.empty(len(at), U)
     view = np.lib.stride_tricks.sliding_window_view(grams, wide)
     for i in range(0, len(at), 1 << 16):  # the windows of a document follow one another: rows of the view
         part = at[i : i + (1 << 16)]
-        chosen[i : i + (1 << 16)] = part + view[part].argmin(axis=1)
+        least[i : i + (1 << 16)] = view[part].min(axis=1)
     new = np.ones(len(at), bool)
-    new[1:] = (chosen[1:] != chosen[:-1]) | (doc[1:] != doc[:-1])
+    new[1:] = (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])
     first = np.flatnonzero(new)
     cnt = np.diff(np.append(first, len(at)))
-    begin, pick = at[first], chosen[first]
-    shape = mix(((pick - begin).astype(U) << U(32)) | cnt.astype(U))
+    begin, shape = at[first], mix(cnt.astype(U))
     long = cnt + window - 1
     d1, d2 = mix(one.at(begin, long) ^ shape), mix(two.at(begin, long) + shape)
-    return doc[first], begin - words.doc_at[doc[first]], cnt, grams[pick], d1, d2
+    return doc[first], begin - words.doc_at[doc[first]], cnt, least[first], d1, d2
 
 
 def _fingerprint(window: int, anchor: int):
