@@ -44,6 +44,7 @@ SHAPES = {
 TOKEN = r"(?<!\S)(?=\S*[0-9@])\S{4,64}(?!\S)"
 MARK, STAND_IN, CONTEXT = "\ue000", "\ue001", 80
 SPAN = "array<struct<start:long,end:long,value:string>>"
+EXTRA = "array<struct<start:long,end:long,kind:string>>"
 ROUNDS, ACCEPT, MIN_SEEDS = 3, 0.8, 3
 
 
@@ -88,6 +89,18 @@ def base_spans(text: Column, kind: str) -> Column:
     return F.filter(located(F.coalesce(text, F.lit("")), PATTERNS[kind]), lambda s: valid(kind, s.value))
 
 
+def kinded(spans: Column, kind: str) -> Column:
+    return F.transform(spans, lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), F.lit(kind).alias("kind")))
+
+
+def of_kind(spans: Column, kind: str) -> Column:
+    return F.filter(F.coalesce(spans, F.array().cast(EXTRA)), lambda e: e.kind == kind)
+
+
+def written(spans: Column) -> Column:
+    return F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end))
+
+
 def scanned(docs: DataFrame) -> DataFrame:
     """(row, doc_id, email, ip, card, phone, tokens): one pass over the texts, stored."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -97,7 +110,7 @@ def scanned(docs: DataFrame) -> DataFrame:
 
 def _occurrences(scan: DataFrame) -> DataFrame:
     """(row, start, end, value, kind or null, pattern): a row for each token and pattern."""
-    seen = scan.withColumn("bases", F.concat(*[F.transform(k, lambda s, k=k: F.struct(s.start.alias("start"), s.end.alias("end"), F.lit(k).alias("kind"))) for k in KINDS]))
+    seen = scan.withColumn("bases", F.concat(*[kinded(F.col(k), k) for k in KINDS]))
     each = seen.where(F.size("tokens") > 0).select("row", "bases", F.explode("tokens").alias("t"))
     trimmed = F.regexp_replace("t.value", r"[.,;:!?)\]\"']+$", "")
     start, end = F.col("t.start"), F.col("t.start") + F.length(trimmed)
@@ -137,15 +150,15 @@ def find_pii(docs: DataFrame) -> DataFrame:
     """(row, doc_id, email, ip, card, phone, extra): base spans, and what the method adds."""
     scan = scanned(docs)
     found = common.stored(bootstrap(scan), "found")
-    extra = found.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("kind", "start", "end"))).alias("extra"))
+    extra = found.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("start", "end", "kind"))).alias("extra"))
     return scan.drop("tokens").join(extra, "row", "left")
 
 
 def spans_text(found: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (all)."""
-    of = {k: F.transform(F.col(k), lambda s, k=k: F.concat(F.lit(f"{k}:"), s.start, F.lit(":"), s.end)) for k in KINDS}
-    both = [F.transform(F.array_sort(F.concat(F.transform(F.col(k), lambda s: F.struct(s.start.alias("start"), s.end.alias("end"))), F.transform(F.filter(F.coalesce("extra", F.array().cast("array<struct<kind:string,start:long,end:long>>")), lambda e, k=k: e.kind == k), lambda e: F.struct(e.start.alias("start"), e.end.alias("end"))))), lambda s, k=k: F.concat(F.lit(f"{k}:"), s.start, F.lit(":"), s.end)) for k in KINDS]
-    return found.select("doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], F.sha2(F.array_join(F.concat(*of.values()), ","), 256).alias("base_sha256"), F.array_join(F.concat(*both), ",").alias("spans"))
+    base = F.concat(*[written(kinded(F.col(k), k)) for k in KINDS])
+    both = F.concat(*[written(F.array_sort(F.concat(kinded(F.col(k), k), of_kind(F.col("extra"), k)))) for k in KINDS])
+    return found.select("doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], F.sha2(F.array_join(base, ","), 256).alias("base_sha256"), F.array_join(both, ",").alias("spans"))
 
 
 def redacted(text: Column, spans: Column) -> Column:
@@ -174,9 +187,8 @@ def redact(docs: DataFrame) -> DataFrame:
     if n:
         keyed = keyed.join(F.broadcast(extra) if n <= common.BROADCAST_KEYS // 20 else extra, "__key", "left")
     else:
-        keyed = keyed.withColumn("__extra", F.lit(None).cast("array<struct<start:long,end:long,kind:string>>"))
-    base = F.concat(*[F.transform(base_spans(text, k), lambda s, k=k: F.struct(s.start.alias("start"), s.end.alias("end"), F.lit(k).alias("kind"))) for k in KINDS])
-    spans = F.array_sort(F.concat(base, F.coalesce("__extra", F.array().cast("array<struct<start:long,end:long,kind:string>>"))))
+        keyed = keyed.withColumn("__extra", F.lit(None).cast(EXTRA))
+    spans = F.array_sort(F.concat(*[kinded(base_spans(text, k), k) for k in KINDS], F.coalesce("__extra", F.array().cast(EXTRA))))
     out = keyed.withColumn("__spans", spans).withColumn("text", F.when(F.col("text").isNotNull(), redacted(F.col("text"), F.col("__spans"))))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))

@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
+from . import mixing, pii
 from .near_dedup import near_duplicates
 from .packing import pack
+from .sharding import shard
 from .substring_dedup import dedup_substrings
 
 
@@ -22,6 +25,13 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(table(spark, sf_dir, "documents"))
 
 
+def op2_curriculum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In the order of the first training position; documents that are not taken come last."""
+    mixed = mixing.curriculum(table(spark, sf_dir, "documents"))
+    first = F.get("positions", F.lit(0))
+    return mixed.orderBy(first.asc_nulls_last(), "doc_id").select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), default_tokenizer())
 
@@ -31,9 +41,20 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_tiered_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, shard_id, shard_bytes, version: the shard that holds each document in the last version."""
+    store, version = shard(table(spark, sf_dir, "documents"))
+    return store.read(version).select("doc_id", "shard_id", "shard_bytes", F.lit(version).cast("long").alias("version"))
+
+
+def op7_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """n_* count the base spans; spans also holds what the bootstrapping adds."""
+    return pii.spans_text(pii.find_pii(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op4_best_fit_packing, op5_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_curriculum_mixing, op4_best_fit_packing, op5_minhash_near_dedup, op6_tiered_sharding, op7_bootstrapped_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_curriculum_mixing": mixing.ORACLE}
