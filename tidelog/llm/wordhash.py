@@ -42,13 +42,18 @@ def powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
     return have
 
 
+#: Terms: words split at every ASCII byte that is no letter or digit, ASCII case folded.
+_NO_TERM = np.array([not (chr(i).isalnum() or i >= 128) for i in range(256)])
+_FOLD = np.array([i + 32 if 65 <= i <= 90 else i for i in range(256)], np.uint8)
+
+
 class Words:
-    """Words of a batch: byte spans [start, end), and per document the range of its words."""
+    """Words (or terms) of a batch: byte spans [start, end), and per document the range of its words."""
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, terms: bool = False):
         data, off = string_buffers(texts)
-        self.data, self.off = data, off
-        space = _SPACE[data]
+        self.data, self.off = (_FOLD[data] if terms else data), off
+        space = (_NO_TERM if terms else _SPACE)[data]
         word = ~space
         filled = np.flatnonzero(off[1:] > off[:-1])
         first = word.copy()
@@ -108,3 +113,8 @@ def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.nd
     first = np.flatnonzero(new)
     times = np.diff(np.append(first, len(value)))
     return value[first], times, np.searchsorted(doc[first], np.arange(len(words.count) + 1))
+
+
+def term_hash(terms: list[str]) -> np.ndarray:
+    """Sorted hashes of single terms."""
+    return np.unique(Words(pa.array(terms, pa.string()), terms=True).hashes())
