@@ -13,7 +13,8 @@ Documents with equal shingle sets collapse first. Candidate pairs within a band
 are never all emitted: in a round, each bucket offers a few representatives, from its
 smallest components, one for each salt; the others of different components are compared
 with them by the exact similarity of the sets, links contract components, and the
-representatives leave the bucket. Rounds go on until no bucket holds two components,
+representatives leave the bucket. The bucket's largest component offers none: when the
+others have been compared with everything, the bucket is done. Rounds go on until no bucket holds two components,
 so every candidate pair is compared or is connected already.
 
 Defined results: a document without words (null, empty, blank) is a class of its own; a
@@ -35,9 +36,11 @@ from pyspark.sql import functions as F
 from . import common
 from .wordhash import U, mix, shingle_sets
 
-K_WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 32, 5
-#: Representatives that a bucket offers in a round, at most.
-OFFERS = 4
+K_WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 40, 7
+#: Representatives that a bucket offers in the first round, and in the later ones, at most.
+OFFERS, LATER_OFFERS = 4, 64
+#: Cells of darts that are made at once.
+CELLS = 1 << 18
 
 _LOW = U(0xFFFFFFFF)
 #: Poisson(1): below CDF[n], as a share of 2**64, there are at most n darts.
@@ -63,8 +66,11 @@ def dart_signatures(elements: np.ndarray, weights: np.ndarray, offsets: np.ndarr
         base = mix(elements[el] + unit.astype(U) * U(0x9E3779B97F4A7C15))
         left = weights[el] - unit
         reps = ranks[doc] - begin[doc]
-        for lo in range(0, len(base), 1 << 17):  # bounds the memory of a step
-            part = slice(lo, lo + (1 << 17))
+        ends = np.cumsum(reps)
+        lo = 0
+        while lo < len(base):  # about CELLS cells at a time: bounds the memory whatever the lengths
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + CELLS, "right")))
+            part, lo = slice(lo, hi), hi
             times = reps[part]
             cell_doc, cell_left = np.repeat(doc[part], times), np.repeat(left[part], times)
             rank = np.arange(times.sum()) - np.repeat(np.concatenate([[0], np.cumsum(times)[:-1]]), times) + begin[cell_doc]
@@ -122,22 +128,16 @@ def _sets(k_words: int):
     return run
 
 
-def _verify(similarity: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for i, (x, y) in enumerate(zip(b.column("x"), b.column("y"))):
-                x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
-                if min(len(x), len(y)) < similarity * max(len(x), len(y)):
-                    continue
-                both = np.concatenate([x, y])
-                both.sort()
-                common_n = int((both[1:] == both[:-1]).sum())
-                if common_n >= similarity * (len(both) - common_n) - 1e-9:
-                    keep.append(i)
-            yield pa.RecordBatch.from_arrays([b.column(c).take(pa.array(keep, pa.int64())) for c in ("a", "b")], names=["a", "b"])
-
-    return run
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, x, y) to (a, b, s): the exact Jaccard similarity of the sets x and y."""
+    for b in batches:
+        out = np.empty(b.num_rows)
+        for i, (x, y) in enumerate(zip(b.column("x"), b.column("y"))):
+            both = np.concatenate([np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)])
+            both.sort()
+            n = int((both[1:] == both[:-1]).sum())
+            out[i] = n / max(1, len(both) - n)
+        yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(out)], names=["a", "b", "s"])
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -155,7 +155,19 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         labels = after.select("node", F.col("new").alias("comp"))
 
 
-def near_duplicates(docs: DataFrame, k_words: int = K_WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, weighted: bool = False, offers: int = OFFERS) -> DataFrame:
+def merged(comp: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(node, comp) after ``links`` have connected nodes; only the links' components are looked at."""
+    if comp is None:
+        return components(links)
+    of = lambda side: comp.select(F.col("node").alias(side), F.col("comp").alias(f"{side}_comp"))
+    edges = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", F.coalesce("a_comp", "a").alias("x"), F.coalesce("b_comp", "b").alias("y"))
+    edges = common.stored(edges, "contracted")
+    nodes = comp.unionByName(edges.select(F.col("a").alias("node"), F.col("x").alias("comp"))).unionByName(edges.select(F.col("b").alias("node"), F.col("y").alias("comp"))).distinct()
+    far = components(edges.where("x <> y"), "x", "y").select(F.col("node").alias("comp"), F.col("comp").alias("far"))
+    return common.stored(nodes.join(far, "comp", "left").select("node", F.coalesce("far", "comp").alias("comp")), "components")
+
+
+def near_duplicates(docs: DataFrame, k_words: int = K_WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, weighted: bool = False, offers: int = OFFERS, later_offers: int = LATER_OFFERS) -> DataFrame:
     """(doc_id, class_id): class_id is the smallest doc_id that links of at least
     ``similarity`` connect with the document. ``weighted``: signatures by shingle counts."""
     ids = docs.select(F.col("doc_id").cast("long"), "text")
@@ -163,29 +175,44 @@ def near_duplicates(docs: DataFrame, k_words: int = K_WORDS, similarity: float =
     rep = common.stored(signed.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep")), "sets")
     members = signed.select("doc_id", "s1", "s2", "n").join(rep, ["s1", "s2", "n"]).groupBy("doc_id").agg(F.min("rep").alias("rep"))
     members = common.stored(members, "members")
-    keyed = signed.join(rep.select(F.col("rep").alias("doc_id"), "s1", "s2", "n"), ["doc_id", "s1", "s2", "n"], "left_semi").select(F.col("doc_id").alias("rep"), F.explode("keys").alias("key"))
+    keyed = signed.join(rep.select(F.col("rep").alias("doc_id"), "s1", "s2", "n"), ["doc_id", "s1", "s2", "n"], "left_semi").select(F.col("doc_id").alias("rep"), "n", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("key")
     bucket = common.stored(keyed.join(shared, "key").distinct(), "buckets")
     comp = None
     involved = bucket.select(F.col("rep").alias("doc_id")).distinct()
     sets = common.stored(common.keep_keys(ids.where("doc_id is not null"), common.stored(involved, "involved"), "doc_id").mapInArrow(_sets(k_words), "doc_id long, elements binary").groupBy("doc_id").agg(F.first("elements").alias("elements")), "elements")
-    links = None
+    first = True
     while True:
         at = bucket.withColumn("comp", F.col("rep")) if comp is None else bucket.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
         sized = at.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
-        open_ = sized.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
+        open_ = sized.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.max(F.struct("m", "comp"))["comp"].alias("largest")).where("c > 1").drop("c")
         at = common.stored(at.join(open_, "key").join(sized, ["key", "comp"]), "open")
         if at.isEmpty():
             break
+        pivots = [] if first else ["pivots"]
         slot = F.pmod(F.xxhash64("rep"), F.lit(offers))
-        offered = common.stored(at.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("m", F.xxhash64("rep").alias("h"), "rep", "comp")).alias("o")).select("key", F.col("o.rep").alias("hub"), F.col("o.comp").alias("hub_comp")), "offered")
-        pairs = at.join(offered, "key").where("comp <> hub_comp").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
+        offered = at.where("comp <> largest").groupBy("key", slot.alias("slot")).agg(F.min(F.struct("m", F.xxhash64("rep").alias("h"), "rep", "comp", "n", *pivots)).alias("o"))
+        offered = common.stored(offered.select("key", "slot", F.col("o.rep").alias("hub"), F.col("o.comp").alias("hub_comp"), F.col("o.n").alias("hub_n"), *[F.col(f"o.{c}").alias("hub_pivots") for c in pivots]), "offered")
+        # Sets of too unequal sizes can't be similar; nor can two whose similarities with one
+        # of the bucket's first representatives differ too much (the Jaccard distance is a metric).
+        near = (F.col("comp") != F.col("hub_comp")) & (F.least("n", "hub_n") >= similarity * F.greatest("n", "hub_n"))
+        if not first:
+            near &= F.forall(F.zip_with("pivots", "hub_pivots", lambda x, y: F.abs(x - y)), lambda d: F.coalesce(d <= 1 - similarity + 1e-9, F.lit(True)))
+        met = at.join(offered, "key").where(near)
+        pairs = met.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
         checked = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("elements").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("elements").alias("y")), "b")
-        new = common.stored(checked.mapInArrow(_verify(similarity), "a long, b long"), "links")
-        links = new if links is None else links.unionByName(new)
-        bucket = common.stored(at.select("key", "rep").join(offered.select("key", F.col("hub").alias("rep")), ["key", "rep"], "left_anti"), "buckets")
-        if not new.isEmpty():
-            comp = components(links)
+        compared = common.stored(checked.mapInArrow(_verify, "a long, b long, s double"), "compared")
+        links = compared.where(F.col("s") >= similarity - 1e-12).select("a", "b")
+        left = at.select("key", "rep", "n", *([] if first else ["pivots"])).join(offered.select("key", F.col("hub").alias("rep")), ["key", "rep"], "left_anti")
+        if first:
+            seen = compared.select("a", "b", "s").unionByName(compared.select(F.col("b").alias("a"), F.col("a").alias("b"), "s"))
+            seen = met.select("key", "rep", "hub", "slot").join(seen, (F.col("rep") == F.col("a")) & (F.col("hub") == F.col("b")))
+            seen = seen.groupBy("key", "rep").agg(*[F.max(F.when(F.col("slot") == i, F.col("s"))).alias(f"s{i}") for i in range(offers)]).select("key", "rep", F.array(*[f"s{i}" for i in range(offers)]).alias("pivots"))
+            left = left.join(seen, ["key", "rep"], "left").withColumn("pivots", F.coalesce("pivots", F.array_repeat(F.lit(None).cast("double"), offers)))
+        bucket = common.stored(left, "buckets")
+        if not links.isEmpty():
+            comp = merged(comp, links)
+        offers, first = later_offers, False
     classes = members
     if comp is not None:
         classes = members.join(comp.select(F.col("node").alias("rep"), "comp"), "rep", "left").select("doc_id", F.coalesce("comp", "rep").alias("class_id"))
