@@ -84,7 +84,7 @@ def curriculum(docs: DataFrame, schedules: DataFrame | None = None, weights: Seq
     in ``copies`` copies at ascending training ``positions``. ``schedules``: (source, knots)
     with knots array<struct<t, w>>; without it the sources by code point weigh ``weights``,
     repeating, at all times. A source without schedule weighs nothing."""
-    sized = common.stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "sized")
+    sized = common.stored(docs.select("doc_id", F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "sized")
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     if schedules is None:
         turn = (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % len(weights) + 1
@@ -118,6 +118,21 @@ def in_training_order(mixed: DataFrame) -> DataFrame:
     return mixed.withColumn("position", F.explode("positions")).drop("positions", "copies", "taken").orderBy("position", F.col("source").asc_nulls_last(), "doc_id")
 
 
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it, in training order. Positions
+    are spread evenly over the words, so equal ranges of time are the partitions. Rows that
+    share doc_id and text are one row repeated."""
+    keys = ["doc_id", "__text"]
+    keyed = docs.withColumn("__text", F.xxhash64("text"))
+    mixed = curriculum(keyed.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), "__text").alias("doc_id"), "source", "text"), **options)
+    mixed = mixed.groupBy("doc_id").agg(F.flatten(F.collect_list("positions")).alias("__positions")).select(F.col("doc_id.doc_id").alias("__id"), F.col("doc_id.__text").alias("__of"), "__positions").where(F.size("__positions") > 0)
+    rows = keyed.dropDuplicates(keys).join(mixed, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__of")))
+    rows = rows.withColumn("__position", F.explode("__positions"))
+    n = common.shuffle_partitions(docs.sparkSession)
+    part = F.least(F.floor(F.col("__position") * n), F.lit(n - 1)).cast("int")
+    return rows.repartitionById(n, part).sortWithinPartitions("__position", "doc_id").select(*docs.columns)
+
+
 ORACLE = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from . import mixing, pii
+from . import html_text, impact_topk, mixing, pii, prefix_forest, toxicity
 from .near_dedup import near_duplicates
 from .packing import pack
 from .sharding import shard
@@ -32,6 +32,10 @@ def op2_curriculum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.orderBy(first.asc_nulls_last(), "doc_id").select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), default_tokenizer())
 
@@ -52,9 +56,27 @@ def op7_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.spans_text(pii.find_pii(table(spark, sf_dir, "documents")))
 
 
+def op8_prefix_forest_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_forest.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op9_impact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impact_topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op10_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(table(spark, sf_dir, "pages"))
+
+
+QUERIES = (
+    op1_substring_dedup, op2_curriculum_mixing, op3_weak_toxicity, op4_best_fit_packing, op5_minhash_near_dedup,
+    op6_tiered_sharding, op7_bootstrapped_pii, op8_prefix_forest_ann, op9_impact_topk, op10_text_density,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_curriculum_mixing, op4_best_fit_packing, op5_minhash_near_dedup, op6_tiered_sharding, op7_bootstrapped_pii)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_curriculum_mixing": mixing.ORACLE}
+    return {"op2_curriculum_mixing": mixing.ORACLE, "op9_impact_topk": impact_topk.ORACLE}
