@@ -27,7 +27,10 @@ SYSLOG_FIELDS = ("date", "facility", "severity", "host", "program", "pid", "mess
 def _finish(df: DataFrame, ok: Column, keep_unparsed: bool, guard: Column | None) -> DataFrame:
     if keep_unparsed:
         return df
-    return df.where(ok if guard is None else ok | ~guard)
+    # A filter would be pushed through every projection below it, each time with the whole
+    # expressions in place of columns; an expression with state is where that stops.
+    passes = F.when(F.monotonically_increasing_id() >= 0, ok if guard is None else ok | ~guard)
+    return df.withColumn("_passes", passes).where("_passes").drop("_passes")
 
 
 def _both(ok: Column, guard: Column | None) -> Column:
