@@ -14,8 +14,11 @@ are never all emitted: in a round, each bucket offers a few representatives, fro
 smallest components, one for each salt; the others of different components are compared
 with them by the exact similarity of the sets, links contract components, and the
 representatives leave the bucket. The bucket's largest component offers none: when the
-others have been compared with everything, the bucket is done. Rounds go on until no bucket holds two components,
-so every candidate pair is compared or is connected already.
+others have been compared with everything, the bucket is done. A comparison that can't
+reach the similarity leaves no row: sizes bound it, and so does the parity bitmap of each
+set (an element flips a bit): the bits in which two bitmaps differ are no more than the
+elements in which the sets do. Rounds go on until no bucket holds two components, so
+every candidate pair is compared, is excluded by a bound, or is connected already.
 
 Defined results: a document without words (null, empty, blank) is a class of its own; a
 text of fewer than ``k_words`` words has one shingle, of all its words; rows that share a
@@ -38,7 +41,9 @@ from .wordhash import U, mix, shingle_sets
 
 K_WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 40, 7
 #: Representatives that a bucket offers in the first round, and in the later ones, at most.
-OFFERS, LATER_OFFERS = 4, 64
+OFFERS, LATER_OFFERS = 4, 512
+#: 64-bit words of a parity bitmap.
+BITMAP = 8
 #: Cells of darts that are made at once.
 CELLS = 1 << 18
 
@@ -113,8 +118,12 @@ def _signatures(k_words: int, bands: int, rows: int, weighted: bool):
                 np.cumsum(mix(value ^ salt), out=run_sum[1:])
                 sums.append(run_sum[off[1:]] - run_sum[off[:-1]])
             ids = b.column("doc_id").to_numpy(zero_copy_only=False)[keep]
+            wide = 64 * BITMAP
+            flips = np.bincount(np.repeat(np.arange(len(n)), n) * wide + (mix(value ^ U(0x452821E638D01377)) % U(wide)).astype(np.int64), minlength=len(n) * wide) & 1
+            bits = np.packbits(flips.astype(np.uint8).reshape(-1, 8), axis=1).reshape(len(n), wide // 8)[keep].reshape(-1).view(np.int64)
+            maps = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(keep) + 1) * BITMAP, BITMAP, dtype=np.int32)), pa.array(bits))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(keep) + 1) * bands, bands, dtype=np.int32)), pa.array(common.as_long(keys.reshape(-1))))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(common.as_long(sums[0][keep])), pa.array(common.as_long(sums[1][keep])), pa.array(n[keep].astype(np.int64)), lists], names=["doc_id", "s1", "s2", "n", "keys"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(common.as_long(sums[0][keep])), pa.array(common.as_long(sums[1][keep])), pa.array(n[keep].astype(np.int64)), lists, maps], names=["doc_id", "s1", "s2", "n", "keys", "bits"])
 
     return run
 
@@ -171,17 +180,19 @@ def near_duplicates(docs: DataFrame, k_words: int = K_WORDS, similarity: float =
     """(doc_id, class_id): class_id is the smallest doc_id that links of at least
     ``similarity`` connect with the document. ``weighted``: signatures by shingle counts."""
     ids = docs.select(F.col("doc_id").cast("long"), "text")
-    signed = common.stored(ids.where("doc_id is not null").mapInArrow(_signatures(k_words, bands, rows, weighted), "doc_id long, s1 long, s2 long, n long, keys array<long>"), "signatures")
+    signed = common.stored(ids.where("doc_id is not null").mapInArrow(_signatures(k_words, bands, rows, weighted), "doc_id long, s1 long, s2 long, n long, keys array<long>, bits array<long>"), "signatures")
     rep = common.stored(signed.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep")), "sets")
     members = signed.select("doc_id", "s1", "s2", "n").join(rep, ["s1", "s2", "n"]).groupBy("doc_id").agg(F.min("rep").alias("rep"))
     members = common.stored(members, "members")
     keyed = signed.join(rep.select(F.col("rep").alias("doc_id"), "s1", "s2", "n"), ["doc_id", "s1", "s2", "n"], "left_semi").select(F.col("doc_id").alias("rep"), "n", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("key")
-    bucket = common.stored(keyed.join(shared, "key").distinct(), "buckets")
+    bucket = keyed.join(shared, "key").distinct()
+    bitmaps = signed.groupBy(F.col("doc_id").alias("rep")).agg(*[F.first(F.col("bits")[i]).alias(f"b{i}") for i in range(BITMAP)])
+    bucket = common.stored(bucket.join(bitmaps, "rep"), "buckets")
     comp = None
     involved = bucket.select(F.col("rep").alias("doc_id")).distinct()
     sets = common.stored(common.keep_keys(ids.where("doc_id is not null"), common.stored(involved, "involved"), "doc_id").mapInArrow(_sets(k_words), "doc_id long, elements binary").groupBy("doc_id").agg(F.first("elements").alias("elements")), "elements")
-    first = True
+    bits = [f"b{i}" for i in range(BITMAP)]
     while True:
         at = bucket.withColumn("comp", F.col("rep")) if comp is None else bucket.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
         sized = at.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
@@ -189,30 +200,20 @@ def near_duplicates(docs: DataFrame, k_words: int = K_WORDS, similarity: float =
         at = common.stored(at.join(open_, "key").join(sized, ["key", "comp"]), "open")
         if at.isEmpty():
             break
-        pivots = [] if first else ["pivots"]
         slot = F.pmod(F.xxhash64("rep"), F.lit(offers))
-        offered = at.where("comp <> largest").groupBy("key", slot.alias("slot")).agg(F.min(F.struct("m", F.xxhash64("rep").alias("h"), "rep", "comp", "n", *pivots)).alias("o"))
-        offered = common.stored(offered.select("key", "slot", F.col("o.rep").alias("hub"), F.col("o.comp").alias("hub_comp"), F.col("o.n").alias("hub_n"), *[F.col(f"o.{c}").alias("hub_pivots") for c in pivots]), "offered")
-        # Sets of too unequal sizes can't be similar; nor can two whose similarities with one
-        # of the bucket's first representatives differ too much (the Jaccard distance is a metric).
-        near = (F.col("comp") != F.col("hub_comp")) & (F.least("n", "hub_n") >= similarity * F.greatest("n", "hub_n"))
-        if not first:
-            near &= F.forall(F.zip_with("pivots", "hub_pivots", lambda x, y: F.abs(x - y)), lambda d: F.coalesce(d <= 1 - similarity + 1e-9, F.lit(True)))
-        met = at.join(offered, "key").where(near)
-        pairs = met.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
+        offered = at.where("comp <> largest").groupBy("key", slot.alias("slot")).agg(F.min(F.struct("m", F.xxhash64("rep").alias("h"), "rep", "comp", "n", *bits)).alias("o"))
+        offered = common.stored(offered.select("key", F.col("o.rep").alias("hub"), F.col("o.comp").alias("hub_comp"), F.col("o.n").alias("hub_n"), *[F.col(f"o.{x}").alias(f"hub_{x}") for x in bits]), "offered")
+        # |x - y| + |y - x| <= (1 - s) / (1 + s) * (|x| + |y|) for a similarity of at least s
+        apart = sum((F.bit_count(F.col(x).bitwiseXOR(F.col(f"hub_{x}"))) for x in bits[1:]), F.bit_count(F.col(bits[0]).bitwiseXOR(F.col(f"hub_{bits[0]}"))))
+        near = (F.col("comp") != F.col("hub_comp")) & (F.least("n", "hub_n") >= similarity * F.greatest("n", "hub_n")) & (apart <= (1 - similarity) / (1 + similarity) * (F.col("n") + F.col("hub_n")) + 1e-6)
+        pairs = at.join(offered, "key").where(near).select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
         checked = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("elements").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("elements").alias("y")), "b")
         compared = common.stored(checked.mapInArrow(_verify, "a long, b long, s double"), "compared")
         links = compared.where(F.col("s") >= similarity - 1e-12).select("a", "b")
-        left = at.select("key", "rep", "n", *([] if first else ["pivots"])).join(offered.select("key", F.col("hub").alias("rep")), ["key", "rep"], "left_anti")
-        if first:
-            seen = compared.select("a", "b", "s").unionByName(compared.select(F.col("b").alias("a"), F.col("a").alias("b"), "s"))
-            seen = met.select("key", "rep", "hub", "slot").join(seen, (F.col("rep") == F.col("a")) & (F.col("hub") == F.col("b")))
-            seen = seen.groupBy("key", "rep").agg(*[F.max(F.when(F.col("slot") == i, F.col("s"))).alias(f"s{i}") for i in range(offers)]).select("key", "rep", F.array(*[f"s{i}" for i in range(offers)]).alias("pivots"))
-            left = left.join(seen, ["key", "rep"], "left").withColumn("pivots", F.coalesce("pivots", F.array_repeat(F.lit(None).cast("double"), offers)))
-        bucket = common.stored(left, "buckets")
+        bucket = common.stored(at.select("key", "rep", "n", *bits).join(offered.select("key", F.col("hub").alias("rep")), ["key", "rep"], "left_anti"), "buckets")
         if not links.isEmpty():
             comp = merged(comp, links)
-        offers, first = later_offers, False
+        offers = later_offers
     classes = members
     if comp is not None:
         classes = members.join(comp.select(F.col("node").alias("rep"), "comp"), "rep", "left").select("doc_id", F.coalesce("comp", "rep").alias("class_id"))
