@@ -42,10 +42,10 @@ class Regexp:
 
     def check(self, spark) -> str | None:
         """The error of Java's compiler, if the expression is invalid."""
-        from py4j.protocol import Py4JJavaError
+        from pyspark.errors import IllegalArgumentException
 
         try:
             spark._jvm.java.util.regex.Pattern.compile(self.java)
-        except Py4JJavaError as e:
-            return e.java_exception.getMessage()
+        except IllegalArgumentException as e:
+            return str(e)
         return None

@@ -45,7 +45,8 @@ def _starts(c: str) -> bool:
 
 def parse_template(text: str, escapes: bool = True, references: bool = False) -> Template:
     """``escapes``: a backslash takes the next character (n, r, t: control characters).
-    ``references``: ``$1`` and ``\\x`` are left for a regular expression's replacement."""
+    ``references``: what names no field (``$1``, ``${n}``) is left for a regular expression's
+    replacement."""
     parts, buffer, i, n = [], [], 0, len(text)
 
     def bad(at: int) -> TemplateError:
@@ -64,7 +65,7 @@ def parse_template(text: str, escapes: bool = True, references: bool = False) ->
             buffer.append(_ESCAPES.get(after, after))
             i += 2
         elif c == "$" and i + 1 < n:
-            if references and text[i + 1].isdigit():
+            if references and not _starts(text[i + 1]):
                 buffer.append(c)
                 i += 1
                 continue
@@ -75,7 +76,7 @@ def parse_template(text: str, escapes: bool = True, references: bool = False) ->
             buffer = []
         elif c == "{" and i + 2 < n and text[i + 1] == "$" or c == "{" and text[i + 1 : i + 2] == "$":
             if i + 2 >= n or not _starts(text[i + 2]):
-                if references and i + 2 < n and text[i + 2].isdigit():
+                if references and i + 2 < n:
                     buffer.append(c)
                     i += 1
                     continue
