@@ -41,7 +41,9 @@ from .wordhash import U, mix, shingle_sets
 
 K_WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 40, 7
 #: Representatives that a bucket offers in the first round, and in the later ones, at most.
-OFFERS, LATER_OFFERS = 4, 512
+OFFERS, LATER_OFFERS = 4, 4096
+#: Up to so many links (16 bytes each) are connected in one task; more by propagation.
+TASK_LINKS = 500_000
 #: 64-bit words of a parity bitmap.
 BITMAP = 8
 #: Cells of darts that are made at once.
@@ -149,10 +151,32 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(out)], names=["a", "b", "s"])
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, comp): the smallest node connected with each node of ``edges``, by least-label
-    propagation with pointer jumping; every step is a stored table, nothing goes to the driver."""
-    both = common.stored(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).unionByName(edges.select(F.col(b).alias("u"), F.col(a).alias("v"))).distinct(), "edges")
+def _connect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Union-find over a bounded number of links."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = parent.setdefault(up, up)
+            x = parent[x]
+        return x
+
+    for b in batches:
+        for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            x, y = root(x), root(y)
+            parent[max(x, y)] = min(x, y)
+    nodes = list(parent)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], names=["node", "comp"])
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b", task_links: int = TASK_LINKS) -> DataFrame:
+    """(node, comp): the smallest node connected with each node of ``edges`` (a stored table).
+    Few links, as counted, are one task's; more are connected by least-label propagation with
+    pointer jumping. Either way links and labels stay tables; nothing goes to the driver."""
+    edges = edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
+    if edges.count() <= task_links:
+        return common.stored(edges.coalesce(1).mapInArrow(_connect, "node long, comp long"), "labels")
+    both = common.stored(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
     labels = common.stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("comp")).withColumnRenamed("u", "node"), "labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("v"), F.col("comp").alias("l")), "v").groupBy("u").agg(F.min("l").alias("l"))
