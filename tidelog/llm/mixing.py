@@ -30,7 +30,7 @@ from . import common
 MAX_REPEATS, WEIGHTS = 3, (1.0, 2.0, 3.0)
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of a source that a window sorts at once, about; sources up to which their table is broadcast.
-ROWS_PER_BUCKET, BROADCAST_SOURCES = 20_000, 20_000
+ROWS_PER_BUCKET, BROADCAST_SOURCES = 4_000, 20_000
 KNOTS = "array<struct<t:double,w:double>>"
 
 
@@ -79,7 +79,7 @@ def targets(sources: DataFrame, max_repeats: int = MAX_REPEATS) -> DataFrame:
     return level.withColumn("target", target).drop("cap", "total", "capped", "open", "at", "level", "first")
 
 
-def curriculum(docs: DataFrame, schedules: DataFrame | None = None, weights: Sequence[float] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
+def curriculum(docs: DataFrame, schedules: DataFrame | None = None, weights: Sequence[float] = WEIGHTS, max_repeats: int = MAX_REPEATS, order_by: str = "doc_id") -> DataFrame:
     """(doc_id, source, size, source_size, target, taken, copies, positions): ``taken`` words
     in ``copies`` copies at ascending training ``positions``. ``schedules``: (source, knots)
     with knots array<struct<t, w>>; without it the sources by code point weigh ``weights``,
@@ -96,7 +96,7 @@ def curriculum(docs: DataFrame, schedules: DataFrame | None = None, weights: Seq
     sources = sources.withColumn("segs", segments(F.col("knots"))).withColumn("weight", integral(F.col("segs")))
     sources = common.stored(targets(sources.where("weight > 0"), max_repeats).withColumn("buckets", F.ceil(F.col("n") / ROWS_PER_BUCKET)).select(F.col("source").alias("of"), "source_size", "target", "segs", "weight", "buckets"), "sources")
     side = F.broadcast(sources) if sources.count() <= BROADCAST_SOURCES else sources
-    order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    order = F.md5(F.coalesce(F.col(order_by).cast("string"), F.lit("")))
     placed = sized.join(side, F.col("source").eqNullSafe(F.col("of"))).withColumn("order", order).withColumn("bucket", F.floor(F.conv(F.substring("order", 1, 6), 16, 10).cast("long") * F.col("buckets") / (1 << 24)))
     cells = placed.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     before = F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -124,7 +124,7 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     share doc_id and text are one row repeated."""
     keys = ["doc_id", "__text"]
     keyed = docs.withColumn("__text", F.xxhash64("text"))
-    mixed = curriculum(keyed.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), "__text").alias("doc_id"), "source", "text"), **options)
+    mixed = curriculum(keyed.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), "__text").alias("doc_id"), "source", "text"), order_by="doc_id.doc_id", **options)
     mixed = mixed.groupBy("doc_id").agg(F.flatten(F.collect_list("positions")).alias("__positions")).select(F.col("doc_id.doc_id").alias("__id"), F.col("doc_id.__text").alias("__of"), "__positions").where(F.size("__positions") > 0)
     rows = keyed.dropDuplicates(keys).join(mixed, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__of")))
     rows = rows.withColumn("__position", F.explode("__positions"))
