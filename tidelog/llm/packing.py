@@ -153,7 +153,7 @@ def _place(places: dict[str, np.ndarray]):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END, rows_per_salt: int = 20_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END, rows_per_salt: int = 10_000) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset), a row per piece."""
     pieces = common.stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_tokenise(tokenizer, size, end), PIECES), "pieces")
     n = pieces.count()
