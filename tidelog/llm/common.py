@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Up to so many 8-byte keys a side may be broadcast; beyond it the join shuffles.
 BROADCAST_KEYS = 1_000_000
+#: Rows of a stored table that a task writes, where the number of rows is known.
+ROWS_PER_TASK = 10_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,9 +43,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/tidelog/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the shared folder and read again: cuts lineage, survives lost executors."""
+def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """``df`` written once to the shared folder and read again: cuts lineage, survives lost executors.
+    ``rows``: about as many as the last stage works on; they size its tasks (ROWS_PER_TASK, but
+    no fewer tasks than cores), so that a small table isn't hundreds of files."""
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, -(-rows // ROWS_PER_TASK)))
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -188,16 +188,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", task_links: int = T
         labels = after.select("node", F.col("new").alias("comp"))
 
 
-def merged(comp: DataFrame | None, links: DataFrame) -> DataFrame:
+def merged(comp: DataFrame | None, links: DataFrame, rows: int) -> DataFrame:
     """(node, comp) after ``links`` have connected nodes; only the links' components are looked at."""
     if comp is None:
         return components(links)
     of = lambda side: comp.select(F.col("node").alias(side), F.col("comp").alias(f"{side}_comp"))
     edges = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", F.coalesce("a_comp", "a").alias("x"), F.coalesce("b_comp", "b").alias("y"))
-    edges = common.stored(edges, "contracted")
+    edges = common.stored(edges, "contracted", rows)
     nodes = comp.unionByName(edges.select(F.col("a").alias("node"), F.col("x").alias("comp"))).unionByName(edges.select(F.col("b").alias("node"), F.col("y").alias("comp"))).distinct()
     far = components(edges.where("x <> y"), "x", "y").select(F.col("node").alias("comp"), F.col("comp").alias("far"))
-    return common.stored(nodes.join(far, "comp", "left").select("node", F.coalesce("far", "comp").alias("comp")), "components")
+    return common.stored(nodes.join(far, "comp", "left").select("node", F.coalesce("far", "comp").alias("comp")), "components", rows)
 
 
 def near_duplicates(docs: DataFrame, k_words: int = K_WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, weighted: bool = False, offers: int = OFFERS, later_offers: int = LATER_OFFERS) -> DataFrame:
@@ -205,38 +205,42 @@ def near_duplicates(docs: DataFrame, k_words: int = K_WORDS, similarity: float =
     ``similarity`` connect with the document. ``weighted``: signatures by shingle counts."""
     ids = docs.select(F.col("doc_id").cast("long"), "text")
     signed = common.stored(ids.where("doc_id is not null").mapInArrow(_signatures(k_words, bands, rows, weighted), "doc_id long, s1 long, s2 long, n long, keys array<long>, bits array<long>"), "signatures")
-    rep = common.stored(signed.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep")), "sets")
+    n_docs = signed.count()
+    rep = signed.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"))
     members = signed.select("doc_id", "s1", "s2", "n").join(rep, ["s1", "s2", "n"]).groupBy("doc_id").agg(F.min("rep").alias("rep"))
-    members = common.stored(members, "members")
-    keyed = signed.join(rep.select(F.col("rep").alias("doc_id"), "s1", "s2", "n"), ["doc_id", "s1", "s2", "n"], "left_semi").select(F.col("doc_id").alias("rep"), "n", F.explode("keys").alias("key"))
+    members = common.stored(members, "members", n_docs)
+    own = signed.join(members.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi").withColumnRenamed("doc_id", "rep")
+    own = common.stored(own, "representatives", n_docs)
+    keyed = own.select("rep", "n", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("key")
-    bucket = keyed.join(shared, "key").distinct()
-    bitmaps = signed.groupBy(F.col("doc_id").alias("rep")).agg(*[F.first(F.col("bits")[i]).alias(f"b{i}") for i in range(BITMAP)])
-    bucket = common.stored(bucket.join(bitmaps, "rep"), "buckets")
-    comp = None
+    bitmaps = own.groupBy("rep").agg(*[F.first(F.col("bits")[i]).alias(f"b{i}") for i in range(BITMAP)])
+    bucket = common.stored(keyed.join(shared, "key").distinct().join(bitmaps, "rep"), "buckets", 8 * n_docs)
+    comp, size = None, bucket.count()
     involved = bucket.select(F.col("rep").alias("doc_id")).distinct()
-    sets = common.stored(common.keep_keys(ids.where("doc_id is not null"), common.stored(involved, "involved"), "doc_id").mapInArrow(_sets(k_words), "doc_id long, elements binary").groupBy("doc_id").agg(F.first("elements").alias("elements")), "elements")
+    sets = common.keep_keys(ids.where("doc_id is not null"), involved, "doc_id", size)
+    sets = sets.mapInArrow(_sets(k_words), "doc_id long, elements binary").groupBy("doc_id").agg(F.first("elements").alias("elements"))
+    sets = common.stored(sets, "elements", size)
     bits = [f"b{i}" for i in range(BITMAP)]
     while True:
         at = bucket.withColumn("comp", F.col("rep")) if comp is None else bucket.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
         sized = at.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
         open_ = sized.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.max(F.struct("m", "comp"))["comp"].alias("largest")).where("c > 1").drop("c")
-        at = common.stored(at.join(open_, "key").join(sized, ["key", "comp"]), "open")
+        at = common.stored(at.join(open_, "key").join(sized, ["key", "comp"]), "open", size)
         if at.isEmpty():
             break
         slot = F.pmod(F.xxhash64("rep"), F.lit(offers))
         offered = at.where("comp <> largest").groupBy("key", slot.alias("slot")).agg(F.min(F.struct("m", F.xxhash64("rep").alias("h"), "rep", "comp", "n", *bits)).alias("o"))
-        offered = common.stored(offered.select("key", F.col("o.rep").alias("hub"), F.col("o.comp").alias("hub_comp"), F.col("o.n").alias("hub_n"), *[F.col(f"o.{x}").alias(f"hub_{x}") for x in bits]), "offered")
+        offered = common.stored(offered.select("key", F.col("o.rep").alias("hub"), F.col("o.comp").alias("hub_comp"), F.col("o.n").alias("hub_n"), *[F.col(f"o.{x}").alias(f"hub_{x}") for x in bits]), "offered", size)
         # |x - y| + |y - x| <= (1 - s) / (1 + s) * (|x| + |y|) for a similarity of at least s
         apart = sum((F.bit_count(F.col(x).bitwiseXOR(F.col(f"hub_{x}"))) for x in bits[1:]), F.bit_count(F.col(bits[0]).bitwiseXOR(F.col(f"hub_{bits[0]}"))))
         near = (F.col("comp") != F.col("hub_comp")) & (F.least("n", "hub_n") >= similarity * F.greatest("n", "hub_n")) & (apart <= (1 - similarity) / (1 + similarity) * (F.col("n") + F.col("hub_n")) + 1e-6)
         pairs = at.join(offered, "key").where(near).select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
         checked = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("elements").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("elements").alias("y")), "b")
-        compared = common.stored(checked.mapInArrow(_verify, "a long, b long, s double"), "compared")
+        compared = common.stored(checked.mapInArrow(_verify, "a long, b long, s double"), "compared", size)
         links = compared.where(F.col("s") >= similarity - 1e-12).select("a", "b")
-        bucket = common.stored(at.select("key", "rep", "n", *bits).join(offered.select("key", F.col("hub").alias("rep")), ["key", "rep"], "left_anti"), "buckets")
+        bucket = common.stored(at.select("key", "rep", "n", *bits).join(offered.select("key", F.col("hub").alias("rep")), ["key", "rep"], "left_anti"), "buckets", size)
         if not links.isEmpty():
-            comp = merged(comp, links)
+            comp = merged(comp, links, size)
         offers = later_offers
     classes = members
     if comp is not None:
