@@ -71,11 +71,21 @@ class Words:
         self.doc_at = np.searchsorted(self.start, off)
         self.count = np.diff(self.doc_at)
 
-    def hashes(self) -> np.ndarray:
+    def hashes(self, stems: tuple[int, ...] = ()) -> np.ndarray:
+        """A hash of each word; with ``stems``, a row more for each length: the hash of the
+        word's first so many bytes, 0 for words that are no longer."""
         forward, back = powers(BYTE_BASE, len(self.data) + 1)
         sums = np.zeros(len(self.data) + 1, U)
         np.cumsum((self.data.astype(U) + U(1)) * forward[: len(self.data)], out=sums[1:])
-        return mix((sums[self.end] - sums[self.start]) * back[self.start])
+        whole = mix((sums[self.end] - sums[self.start]) * back[self.start])
+        if not stems:
+            return whole
+        rows = [whole]
+        for k in stems:
+            longer = self.end - self.start > k
+            to = np.where(longer, self.start + k, self.start)
+            rows.append(np.where(longer, mix(((sums[to] - sums[self.start]) * back[self.start]) ^ U(0x9216D5D98979FB1B + k)), U(0)))
+        return np.stack(rows)
 
 
 class WindowHash:
