@@ -38,7 +38,8 @@ def running(spark, tmp_path):
 
 def test_udp_tcp_and_frames_to_mock(running):
     udp, tcp, framed = free_port(socket.SOCK_DGRAM), free_port(), free_port()
-    running(f"flow {{ from udp 127.0.0.1:{udp}; parse syslog; set $payload '$program: $payload'; to mock one; }} join {{from tcp 127.0.0.1:{tcp}}} join {{from tcp 127.0.0.1:{framed} as syslog-frame}} to mock two;")
+    e = running(f"flow {{ from udp 127.0.0.1:{udp}; parse syslog; set $payload '$program: $payload'; to mock one; }} join {{from tcp 127.0.0.1:{tcp}}} join {{from tcp 127.0.0.1:{framed} as syslog-frame}} to mock two;")
+    counts = e.metrics.holder("test")
     sinks.MemorySink.rows("one").clear()
     sinks.MemorySink.rows("two").clear()
     with socket.socket(socket.AF_INET, socket.SOCK_DGRAM) as s:
@@ -50,6 +51,9 @@ def test_udp_tcp_and_frames_to_mock(running):
     assert wait(lambda: sinks.MemorySink.rows("one") and len(sinks.MemorySink.rows("two")) >= 5)
     assert sinks.MemorySink.rows("one") == ["prog: привет"]
     assert sorted(sinks.MemorySink.rows("two")) == ["abc", "hello", "line one", "line two", "rest"]
+    assert wait(lambda: counts.read(False)["unparsedDropped"] == 1)
+    seen = counts.read(False)
+    assert (seen["fromUdpMessages"], seen["fromTcpMessages"], seen["fromTcpNewConnections"], seen["messagesReceived"]) == (2, 5, 2, 7)
 
 
 def test_file_sink_metrics_and_reload(running, tmp_path):

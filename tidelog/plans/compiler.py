@@ -46,6 +46,8 @@ class Lowering:
     nanos: int | None = None
     exact_json: bool = False
     json_keys: list[str] | None = None
+    #: Called with the messages before and after a parser that drops what it can't parse.
+    on_drop: Callable[[DataFrame, DataFrame], None] | None = None
     sinks: list[tuple[c.To, DataFrame]] = field(default_factory=list)
 
     def run(self, body: tuple, df: DataFrame | None = None, guard: Column | None = None) -> DataFrame | None:
@@ -71,7 +73,10 @@ class Lowering:
             self.sinks.append((x, df if guard is None else df.where(guard)))
             return df
         if isinstance(x, c.Parse):
-            return self._parse(x, df, guard)
+            out = self._parse(x, df, guard)
+            if self.on_drop is not None and not x.keep_unparsed and x.kind in ("syslog", "json", "regexp"):
+                self.on_drop(df, out)
+            return out
         if isinstance(x, c.Switch):
             cases = [route.Case(m, (lambda d, g, b=b: self.run(b, d, g)) if narrow(b) else None, lambda d, b=b: self.run(b, d)) for m, b in x.cases]
             return route.switch(df, x.subject, cases, guard)

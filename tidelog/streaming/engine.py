@@ -137,6 +137,9 @@ class Engine:
         return network.spooled(self.spark, self._receiver(s).spool.path)
 
     def start(self) -> Engine:
+        for x in self.program.commands():
+            if isinstance(x, c.Parse) and x.kind == "stats":
+                self.metrics.holder(x.consumer)  # counts from now on
         for i, body in enumerate(streams(self.program)):
             found = list(dict.fromkeys(s.key for s in self.program.sources(body)))
             by_key = {s.key: s for s in self.program.sources(body)}
@@ -153,10 +156,14 @@ class Engine:
             df = df.persist()
             try:
                 source = lambda s: df.where(F.col("_source") == found.index(s.key)).drop("_source")
-                lowering = Lowering(source, self.program.options, self.dialect, snapshots=self.metrics.snapshot)
+                parsed: list[tuple[DataFrame, DataFrame]] = []
+                lowering = Lowering(source, self.program.options, self.dialect, snapshots=self.metrics.snapshot, on_drop=lambda *pair: parsed.append(pair))
                 lowering.run(body)
                 for sink, out in lowering.sinks:
                     deliver(sink, out, self.metrics)
+                if self.metrics.wanted:  # counted from the cached batch, and only if somebody reads it
+                    for before, after in parsed:
+                        self.metrics.add("unparsedDropped", before.count() - after.count())
             finally:
                 df.unpersist()
 

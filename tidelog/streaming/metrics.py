@@ -53,6 +53,10 @@ class Metrics:
     def holder(self, consumer: str) -> Holder:
         return self._holders.setdefault(consumer, Holder())
 
+    @property
+    def wanted(self) -> bool:
+        return bool(self._holders)
+
     def add(self, name: str, n: int = 1) -> None:
         for h in list(self._holders.values()):
             h.add(name, n)
