@@ -230,6 +230,17 @@ def test_extraction_edge_cases(spark):
     assert html_text.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
 
+@pytest.mark.parametrize("attr", ["class=ad", "class='x ads-2'", 'class="cookieNotice"', "id=sidebar", "role=navigation", "class='user-comment first'", "class=header", "hidden", 'aria-hidden="true"', "class=share_buttons", "id=newsletter1"])
+def test_boilerplate_by_attribute(attr):
+    page = f"<body><div {attr}>Something that is no article, at some length, for good measure.</div><div class=content><p>The article has this text.</p><p>And this.</p></div></body>"
+    assert html_text.extract(page) == "The article has this text.\nAnd this."
+
+
+@pytest.mark.parametrize("attr", ["class=content", "class=reading", "id=adventure", "class='headline story'", "class=download", "hidden-x=1"])
+def test_other_attributes_are_article(attr):
+    assert html_text.extract(f"<body><div {attr}><p>The article has this text.</p><p>And this.</p></div></body>") == "The article has this text.\nAnd this."
+
+
 def test_density_prefers_text_to_links():
     page = "<body><div>" + "<a href=x>menu item</a> " * 30 + "</div><div><p>" + "real words in a row " * 20 + "</p><p>" + "and more of them " * 20 + "</p></div></body>"
     assert "menu item" not in html_text.extract(page) and "real words" in html_text.extract(page)

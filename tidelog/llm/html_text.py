@@ -42,12 +42,14 @@ BLOCK = frozenset("html body main article section div p h1 h2 h3 h4 h5 h6 ul ol
 CLOSES_P = BLOCK - frozenset("html body tr td th thead tbody tfoot caption figcaption summary dt dd li".split()) | frozenset({"hr", "nav", "aside", "form", "fieldset", "footer", "menu", "dialog"})
 OWN_KIND = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 #: Words of class, id and role that mark what is no article.
-BOILER = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advert(?:isement|ising)?|adslot|adbox|sponsor(?:ed|s)?|promo(?:tion|s)?|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|paywall|comments?|commentlist|respond|replies|disqus|discussion|reactions|side-?bar|widgets?|related|recommend(?:ed|ations)?|share|sharing|social|nav(?:igation|bar)?|menus?|breadcrumbs?|crumbs|pagination|pager|toolbar|masthead|site-?header|page-?header|topbar|footer|site-?footer|page-?footer|bottombar|copyright|skip|search(?:box|form)?|complementary|contentinfo)(?:$|[\s_-])", re.I)
+BOILER = re.compile(r"(?:^|[\s_\d-])(?:ads?|adverts?|advert(?:isement|ising)?|adslot|adbox|sponsor(?:ed|s)?|promo(?:tion|s)?|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|paywall|comments?|commentlist|respond|replies|disqus|discussion|reactions|side-?bar|widgets?|related|recommend(?:ed|ations)?|share|sharing|social|nav(?:igation|bar)?|menus?|breadcrumbs?|crumbs|pagination|pager|toolbar|masthead|site-?header|page-?header|topbar|footer|site-?footer|page-?footer|bottombar|copyright|skip|search(?:box|form)?|announcements?|dialog|complementary|contentinfo)(?:$|[\s_\d-])", re.I)
+HEADER = re.compile(r"(?:^|\s)(?:header|top|head)(?:$|\s)", re.I)
+_HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 #: These are the article whatever their class says.
 NEVER_BOILER = frozenset({"html", "body", "article", "main"})
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)>?", re.S)
-_ATTR = re.compile(r"(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTR = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden)(?![\w-])\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 
 
 class Node:
@@ -69,7 +71,7 @@ def _is_boiler(tag: str, attrs: str, inside_article: bool) -> bool:
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "hidden" and not value or name == "aria-hidden" and value.lower() == "true":
             return True
-        if value and BOILER.search(value):
+        if value and (BOILER.search(_HUMP.sub("-", value)) or not inside_article and HEADER.search(value)):
             return True
     return False
 
