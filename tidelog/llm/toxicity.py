@@ -34,9 +34,9 @@ from . import common
 from .wordhash import U, Words, mix, term_hash
 
 THRESHOLD = 0.7
-MINE_ROWS, FIT_ROWS, BITS = 20_000, 8_000, 20
+MINE_ROWS, FIT_ROWS, BITS = 20_000, 4_000, 20
 #: Bytes of a term's stems: insults inflect.
-STEMS = (4, 5, 6)
+STEMS = (4, 5)
 #: The voters' lexicons.
 LEXICONS = {
     "intellect": ["idiot", "idiots", "idiotic", "moron", "morons", "moronic", "stupid", "stupidity", "imbecile", "dumb", "dumbass", "dimwit", "halfwit", "fool", "cretin", "retard", "retarded", "brainless"],
@@ -227,12 +227,14 @@ def fit_linear(rows: list[np.ndarray], target: np.ndarray, weight: np.ndarray, l
     if not len(rows) or not (target > 0.5).any():
         return w, min(bias, -3.0)
     f = np.concatenate(rows)
-    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     # a feature of fewer than three documents can only memorise them
     seen = np.bincount(f, minlength=1 << BITS)
+    used, number = np.flatnonzero(seen >= 3), np.zeros(1 << BITS, np.intp)
+    number[used] = np.arange(len(used))
     keep = seen[f] >= 3
-    f, row = f[keep], row[keep]
-    used, f = np.unique(f, return_inverse=True)
+    row = np.repeat(np.arange(len(rows), dtype=np.intp), [len(r) for r in rows])[keep]
+    f = number[f[keep]]
+    del keep, number
     v, m, s = np.zeros(len(used) + 1), np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     v[-1] = bias
     weight = weight / weight.sum()
