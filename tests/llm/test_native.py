@@ -85,7 +85,7 @@ def test_native_plans_have_no_python(spark):
 
 def test_shards_round_trip_and_compact(spark, tmp_path):
     rows = [(i, " ".join(words(30, i)), "s") for i in range(500)] + [(1, None, None), (1, "", "s"), (None, "x" * 100_000, "s"), (1, "", "s")]
-    df = docs(spark, rows, "shard").repartition(8)
+    df = docs(spark, rows, "shard shard_id shard_file").repartition(8)
     store, version = sharding.shard(df, f"file://{tmp_path}/a", arrivals=3, target_bytes=20_000, fan_in=3, arrival_rows=25)
     key = lambda r: tuple(map(str, (r.doc_id, r.text, r.source, r.shard)))
     back = store.read(version)

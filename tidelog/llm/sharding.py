@@ -133,13 +133,15 @@ class ShardStore:
     # --- reading ----------------------------------------------------------------------
 
     def read(self, version: int | None = None) -> DataFrame:
-        """Rows of a version, with ``shard_id`` and ``shard_file``."""
+        """Rows of a version, with ``shard_file``, ``shard_id`` and ``shard_bytes``; stored columns
+        of these names come back with ``row_`` before them."""
         version = self.version() if version is None else version
         shards = self.shards(version)
         if not shards:
             raise ValueError("the store is empty")
         rows = self.spark.read.parquet(*[f"{self.root}/{s['file']}" for s in shards])
-        rows = rows.withColumn("shard_file", F.regexp_extract(F.col("_metadata.file_path"), r"(run-[0-9a-f]+/[^/]+)$", 1))
+        file = F.regexp_extract(F.col("_metadata.file_path"), r"(run-[0-9a-f]+/[^/]+)$", 1)
+        rows = rows.select(*[F.col(c).alias(f"row_{c}" if c in ("shard_file", "shard_id", "shard_bytes") else c) for c in rows.columns], file.alias("shard_file"))
         listed = self.spark.read.schema("file string, bytes long, born long, shard_id long").json(self.manifest_path(version))
         listed = listed.select(F.col("file").alias("shard_file"), "shard_id", F.col("bytes").alias("shard_bytes"))
         return rows.join(F.broadcast(listed) if len(shards) <= 100_000 else listed, "shard_file")
