@@ -101,6 +101,16 @@ def test_stdout(spark, capsys):
     assert capsys.readouterr().out == "a\nc\nb\n> a\n> c\n> b\n"
 
 
+def test_dump_sink(spark, capsys):
+    from tidelog.functions.templates import parse_template
+    from tidelog.plans.commands import To
+
+    df = spark.createDataFrame([(4, "x", "h1")], "_seq long, a string, host string")
+    engine.deliver(To("dump", template=parse_template("$host> ")), df)
+    engine.deliver(To("dump"), df)
+    assert capsys.readouterr().out == "h1> #4\nh1> $a=x\nh1> $host=h1\n#4\n$a=x\n$host=h1\n"
+
+
 def test_streams_of_a_program():
     from tidelog.plans.commands import read_program
 

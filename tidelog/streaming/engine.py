@@ -95,8 +95,11 @@ def deliver(sink: c.To, df: DataFrame, metrics: Metrics | None = None) -> int:
     if sink.kind == "dump":
         from ..functions.fields import dump
 
-        prefix = sink.template.constant if sink.template is not None else ""
-        return sinks.to_stdout(df.withColumn("payload", dump(df)), prefix=prefix or "")
+        text = dump(df)
+        if sink.template is not None:  # before each line
+            prefix = sink.template.column(df)
+            text = F.concat(prefix, F.replace(text, F.lit("\n"), F.concat(F.lit("\n"), prefix)))
+        return sinks.to_stdout(df.withColumn("payload", text))
     if sink.kind == "file":
         return sinks.to_file(df, sink.template.column(df), metrics)
     if sink.kind == "udp":
