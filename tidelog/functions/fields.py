@@ -133,10 +133,10 @@ def _pattern(pattern: str, local: Column, offset: Column) -> Column:
     return F.concat(*pieces) if pieces else F.lit("")
 
 
-def format_time(fmt: str, local: Column, offset: Column, exact: Column | None = None) -> Column:
+def format_time(fmt: str, local: Column, offset: Column) -> Column:
     """``fmt``: one of NAMED, or a pattern. ``local`` is shown as the clock stands there."""
     if fmt.startswith("unixtime-"):
-        micros = F.unix_micros(local if exact is None else exact) - _offset_seconds(offset).cast("long") * 1_000_000
+        micros = F.unix_micros(local) - _offset_seconds(offset).cast("long") * 1_000_000
         div = {"unixtime-seconds": 1_000_000, "unixtime-milliseconds": 1_000}.get(fmt)
         if div:
             return _div(micros, div).cast("string")

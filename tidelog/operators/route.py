@@ -48,44 +48,36 @@ class Case:
     wide: Callable[[DataFrame], DataFrame | None] | None = None
 
 
-_depth = 0
-
-
 def switch(df: DataFrame, subject: Template, cases: Sequence[Case], guard: Column | None = None) -> DataFrame:
     """The first case that matches takes the message; without a match it passes unchanged.
     All conditions are evaluated once, on the message as it comes, into a branch number.
     If every branch is narrow, the branches are guarded writes in one projection; otherwise
     each branch's rows are split off and united again."""
-    global _depth
-    _depth += 1
-    name, text = f"_branch{_depth}", f"_subject{_depth}"
-    try:
-        df = df.withColumn(text, subject.column(df))
-        choice = None
-        for i, case in enumerate(cases):
-            m = case.match
-            hit = F.lit(True) if m is None else F.col(text).rlike(m.java) if isinstance(m, Regexp) else F.col(text) == m.column(df)
-            choice = F.when(hit, i) if choice is None else choice.when(hit, i)
-        df = df.withColumn(name, F.lit(-1) if choice is None else choice.otherwise(-1))
+    depth = sum(c.startswith("_branch") for c in df.columns)
+    name, text = f"_branch{depth}", f"_subject{depth}"
+    both = lambda here: here if guard is None else here & guard
+    df = df.withColumn(text, subject.column(df))
+    choice = None
+    for i, case in enumerate(cases):
+        m = case.match
+        hit = F.lit(True) if m is None else F.col(text).rlike(m.java) if isinstance(m, Regexp) else F.col(text) == m.column(df)
+        choice = F.when(hit, i) if choice is None else choice.when(hit, i)
+    df = df.withColumn(name, F.lit(-1) if choice is None else choice.otherwise(-1))
+    for i, case in enumerate(cases):
+        if isinstance(case.match, Regexp) and case.match.names:
+            df = model.write(df, parse.captures(df, case.match, F.col(text)), both(F.col(name) == i))
+    df = df.drop(text)
+    if all(case.narrow is not None for case in cases):
         for i, case in enumerate(cases):
-            if isinstance(case.match, Regexp) and case.match.names:
-                here = F.col(name) == i
-                df = model.write(df, parse.captures(df, case.match, F.col(text)), here if guard is None else here & guard)
-        df = df.drop(text)
-        if all(c.narrow is not None for c in cases):
-            for i, case in enumerate(cases):
-                here = F.col(name) == i
-                df = case.narrow(df, here if guard is None else here & guard)
-            return df.drop(name)
-        if guard is not None:
-            raise ValueError("a branch that splits its rows can't be guarded")
-        out = df.where(F.col(name) == -1).drop(name)
-        for i, case in enumerate(cases):
-            own = df.where(F.col(name) == i).drop(name)
-            out = model.union(out, case.wide(own) if case.wide is not None else case.narrow(own, F.lit(True)))
-        return out
-    finally:
-        _depth -= 1
+            df = case.narrow(df, both(F.col(name) == i))
+        return df.drop(name)
+    if guard is not None:
+        raise ValueError("a branch that splits its rows can't be guarded")
+    out = df.where(F.col(name) == -1).drop(name)
+    for i, case in enumerate(cases):
+        own = df.where(F.col(name) == i).drop(name)
+        out = model.union(out, case.wide(own) if case.wide is not None else case.narrow(own, F.lit(True)))
+    return out
 
 
 def join(df: DataFrame | None, *streams: DataFrame | None) -> DataFrame | None:
