@@ -157,6 +157,25 @@ def test_bootstrapping_discovers_unseen_identifiers(spark):
     assert red[100].text == "please write to [EMAIL] now" and red[100].n_chars == len(red[100].text) and red[100].tokens == "clash"
 
 
+def test_bootstrapping_of_identifiers_with_spaces(spark):
+    phone = lambda i: f"+1 ({200 + i}) 555-{1000 + i}"
+    rows = [(i, f"{words(1, i)[0]} call me at {phone(i)}, thanks") for i in range(20)]
+    good = [c for c in (f"4445 5132 {i:04d} {j:04d}" for i in range(30) for j in range(10)) if brute_base(c)][:20]
+    rows += [(50 + i, f"{words(1, i)[0]} paid with card {c} yesterday") for i, c in enumerate(good)]
+    # no base pattern: no plus sign; a wrong check digit
+    bad = next(c for c in (f"4445 5132 7777 {j:04d}" for j in range(10)) if not brute_base(c))
+    rows += [(100, "please call me at 0487 555 7209, thanks"), (101, f"she paid with card {bad} yesterday"), (102, "lines of 0487 555 7209 numbers")]
+    df = docs(spark, rows)
+    out = {r.doc_id: r for r in pii.spans_text(pii.find_pii(df)).collect()}
+    assert all(out[i].spans == brute_base(t) for i, t in rows if i < 100)
+    assert out[100].spans == "phone:18:31" and out[101].spans == "card:19:38" and out[102].spans == ""
+    seen = pii._occurrences(pii.scanned(df)).where("row >= 0").collect()
+    assert {r.value for r in seen if r.kind} == {phone(i) for i in range(20)} | set(good)
+    assert {r.value for r in seen if not r.kind} == {"0487 555 7209", bad}  # no fragments
+    red = {r.doc_id: r.text for r in pii.redact(df).collect()}
+    assert red[100] == "please call me at [PHONE], thanks" and red[101] == "she paid with card [CARD] yesterday"
+
+
 def test_redaction(spark):
     rows = [(1, "é a@b.cd, 1.2.3.4"), (2, None), (3, "clean"), (4, ""), (1, "é a@b.cd, 1.2.3.4"), (5, "+1 4445513251889405 x")]
     out = sorted(((r.doc_id, r.text) for r in pii.redact(docs(spark, rows)).collect()), key=str)

@@ -1,8 +1,11 @@
 """Personal data by bootstrapped contextual extraction (DataFrame functions only).
 
 Base: four kinds of identifiers by pattern and check (spans in code points). They seed
-the bootstrapping. Every identifier-like token (it holds a digit or an at sign), with
-the two words to its left and the word to its right, is an occurrence; occurrences make
+the bootstrapping: every base span, with the two words to its left and the word to its
+right, is an occurrence. So is, where it touches no base span, every identifier-like
+token (it holds a digit or an at sign) and every identifier-like run of words (digit
+groups; name, at sign, domain) of a kind's loose shape; its fragments are none unless
+they have such a shape themselves. Occurrences make
 a bipartite graph of lexical patterns (two left words; left and right word) and
 instances. Rounds score it: a pattern's confidence for a kind is the share of its
 distinct instances that are that kind, by their scores, with one unknown instance
@@ -21,6 +24,9 @@ that share a doc_id are searched each; other columns are not looked at.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,33 +42,49 @@ PATTERNS = {
 }
 #: What an unseen instance of a kind looks like at least.
 SHAPES = {
-    "email": r"^[^@\s]*[A-Za-z0-9][^@\s]*(?:@|\(at\)|\[at\])[^@\s]*[A-Za-z0-9][^@\s]*$",
-    "ip": r"^[0-9]{1,3}(?:[.:_-][0-9]{1,3}){3}$",
-    "card": r"^(?:[0-9][._-]?){12,18}[0-9]$",
-    "phone": r"^[(]?[0-9](?:[()./_-]*[0-9]){6,14}$",
+    "email": r"^[^@\s]*[A-Za-z0-9][^@\s]*\x20*(?:@|\(at\)|\[at\])\x20*[^@\s]*[A-Za-z0-9][^@\s]*$",
+    "ip": r"^[0-9]{1,3}(?:(?:\x20*[.:_-]\x20*|\x20+)[0-9]{1,3}){3}$",
+    "card": r"^(?:[0-9]\x20*+[._-]?\x20*+){12,18}[0-9]$",
+    "phone": r"^[+]?[(]?[0-9](?:[()./_\x20-]*+[0-9]){6,14}$",
 }
 TOKEN = r"(?<!\S)(?=\S*[0-9@])\S{4,64}(?!\S)"
+#: Identifiers of several words: a run of digit groups; a name, an at sign and a domain.
+SPACED = r"(?<!\S)[+(]*+[0-9][0-9().:/_+-]*+(?:\x20++[0-9().:/_+-]++(?=[,;!?\]\"']*+(?!\S)))++|(?<!\S)\S*[A-Za-z0-9]\x20*+(?:@|\(at\)|\[at\])\x20*+[A-Za-z0-9]\S*+"
+#: The last word and the word before it (an opening bracket or quote at the end is no word); the next word.
+L1, L2 = r"(?s)^.*(?<!\S)(?![(\[\"'<]++$)(\S++)\s*+[(\[\"'<]*+$", r"(?s)^.*(?<!\S)(\S++)\s++(?![(\[\"'<]++$)\S++\s*+[(\[\"'<]*+$"
+R1 = r"^(?:[.,;:!?)\]\"']++(?!\S))?+\s*+(\S++)"
 MARK, STAND_IN, CONTEXT = "\ue000", "\ue001", 80
 SPAN = "array<struct<start:long,end:long,value:string>>"
+SEEN = SPAN.replace("value:string", "value:string,l1:string,l2:string,r1:string")
 EXTRA = "array<struct<start:long,end:long,kind:string>>"
 ROUNDS, ACCEPT, MIN_SEEDS = 3, 0.8, 3
 
 
-def located(text: Column, pattern: str, context: int = 0) -> Column:
-    """Array of (start, end, value[, left, right]) of the matches of ``pattern``, in order."""
+def located(text: Column, pattern: str, keep: Callable[[Column], Column] | None = None, context: int = 0) -> Column:
+    """Array of (start, end, value[, l1, l2, r1]) of the matches of ``pattern``, in order: those
+    that ``keep`` holds for, with the two words to the left and the word to the right."""
     clean = F.translate(text, MARK, STAND_IN)
-    parts = F.split(F.regexp_replace(clean, pattern, f"{MARK}$0{MARK}"), MARK)
-    fields = lambda s, i: [s.pos.alias("start"), (s.pos + F.length(F.get(parts, i))).alias("end"), F.get(parts, i).alias("value")]
-    extra = lambda i: [F.right(F.get(parts, i - 1), F.lit(context)).alias("left"), F.left(F.get(parts, i + 1), F.lit(context)).alias("right")] if context else []
-    kind = SPAN if not context else SPAN.replace("value:string", "value:string,left:string,right:string")
+    split = F.split(F.regexp_replace(clean, pattern, f"{MARK}$0{MARK}"), MARK)
+    word = lambda side, re: F.lower(F.regexp_extract(side, re, 1))
+
+    def found(parts: Column) -> Column:
+        def step(s: Column, i: Column) -> Column:
+            end = s.pos + F.length(F.get(parts, i))
+            one = F.struct(s.pos.alias("start"), end.alias("end"), F.get(parts, i).alias("value"), i.alias("i"))
+            return F.struct(end.alias("pos"), F.when(i % 2 == 1, F.concat(s.out, F.array(one))).otherwise(s.out).alias("out"))
 
-    def step(s: Column, i: Column) -> Column:
-        end = s.pos + F.length(F.get(parts, i))
-        return F.struct(end.alias("pos"), F.when(i % 2 == 1, F.concat(s.out, F.array(F.struct(*fields(s, i), *extra(i))))).otherwise(s.out).alias("out"))
+        start = F.struct(F.lit(0).cast("long").alias("pos"), F.array().cast(SPAN.replace("value:string", "value:string,i:int")).alias("out"))
+        spans = F.aggregate(F.sequence(F.lit(0), F.size(parts) - 1), start, step, lambda s: s.out)
+        if keep is not None:
+            spans = F.filter(spans, lambda s: keep(s.value))
+        left = lambda s: F.right(F.get(parts, s.i - 1), F.lit(context))
+        right = lambda s: F.left(F.get(parts, s.i + 1), F.lit(context))
+        words = lambda s: [word(left(s), L1).alias("l1"), word(left(s), L2).alias("l2"), word(right(s), R1).alias("r1")] if context else []
+        return F.transform(spans, lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), s.value.alias("value"), *words(s)))
 
-    start = F.struct(F.lit(0).cast("long").alias("pos"), F.array().cast(kind).alias("out"))
-    found = F.aggregate(F.sequence(F.lit(0), F.size(parts) - 1), start, step, lambda s: s.out)
-    return F.when(F.size(parts) > 1, found).otherwise(F.array().cast(kind))
+    # bound by a lambda, so that the text is matched and split once, not once a match
+    none = F.array().cast(SEEN if context else SPAN)
+    return F.get(F.transform(F.array(split), lambda p: F.when(F.size(p) > 1, found(p)).otherwise(none)), F.lit(0))
 
 
 def _digits(v: Column) -> Column:
@@ -85,8 +107,8 @@ def valid(kind: str, v: Column) -> Column:
     return F.lit(True)
 
 
-def base_spans(text: Column, kind: str) -> Column:
-    return F.filter(located(F.coalesce(text, F.lit("")), PATTERNS[kind]), lambda s: valid(kind, s.value))
+def base_spans(text: Column, kind: str, context: int = 0) -> Column:
+    return located(F.coalesce(text, F.lit("")), PATTERNS[kind], lambda v: valid(kind, v), context)
 
 
 def kinded(spans: Column, kind: str) -> Column:
@@ -102,27 +124,39 @@ def written(spans: Column) -> Column:
 
 
 def scanned(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, email, ip, card, phone, tokens): one pass over the texts, stored."""
+    """(row, doc_id, email, ip, card, phone, tokens, spaced): one pass over the texts, stored."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), *[base_spans(text, k).alias(k) for k in KINDS], located(text, TOKEN, CONTEXT).alias("tokens"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), *[base_spans(text, k, CONTEXT).alias(k) for k in KINDS], located(text, TOKEN, context=CONTEXT).alias("tokens"), located(text, SPACED, lambda v: v.contains(" ") & v.rlike("[0-9@]"), CONTEXT).alias("spaced"))
     return common.stored(rows, "scan")
 
 
+def shaped(value: Column) -> Column:
+    return reduce(Column.__or__, [value.rlike(re) for re in SHAPES.values()])
+
+
 def _occurrences(scan: DataFrame) -> DataFrame:
-    """(row, start, end, value, kind or null, pattern): a row for each token and pattern."""
-    seen = scan.withColumn("bases", F.concat(*[kinded(F.col(k), k) for k in KINDS]))
-    each = seen.where(F.size("tokens") > 0).select("row", "bases", F.explode("tokens").alias("t"))
-    trimmed = F.regexp_replace("t.value", r"[.,;:!?)\]\"']+$", "")
-    start, end = F.col("t.start"), F.col("t.start") + F.length(trimmed)
-    touch = F.filter("bases", lambda b: (b.start < end) & (b.end > start))
-    exact = F.filter(touch, lambda b: (b.start == start) & (b.end == end))
-    word = lambda side, re: F.lower(F.regexp_extract(side, re, 1))
-    left, right = F.col("t.left"), F.col("t.right")
-    l1, l2, r1 = word(left, r"(\S++)\s*+$"), word(left, r"(\S++)\s++\S++\s*+$"), word(right, r"^\s*+(\S++)")
-    each = each.select("row", start.alias("start"), end.alias("end"), trimmed.alias("value"), F.get(exact, F.lit(0))["kind"].alias("kind"), (F.size(touch) > 0).alias("based"), l1.alias("l1"), l2.alias("l2"), r1.alias("r1"))
+    """(row, start, end, value, kind or null, pattern): a row for each occurrence and pattern."""
+
+    def occurrence(s: Column, value: Column, kind: Column) -> Column:
+        end = s.start + F.length(value)
+        return F.struct(s.start.alias("start"), end.alias("end"), value.alias("value"), kind.cast("string").alias("kind"), s.l1.alias("l1"), s.l2.alias("l2"), s.r1.alias("r1"))
+
+    def trimmed(name: str) -> Column:
+        return F.transform(name, lambda t: occurrence(t, F.regexp_replace(t.value, r"[.,;:!?)\]\"']+$", ""), F.lit(None)))
+
+    def based(name: str) -> Column:
+        return F.transform(name, lambda s: occurrence(s, s.value, F.lit(name)))
+
+    free = lambda t: ~F.exists("bases", lambda b: (b.start < t.end) & (b.end > t.start))
+    within = lambda t: F.exists("runs", lambda r: (r.start <= t.start) & (r.end >= t.end))
+    seen = scan.where(F.size("tokens") + F.size("spaced") + sum(F.size(k) for k in KINDS) > 0).select("row", F.concat(*[based(k) for k in KINDS]).alias("bases"), trimmed("tokens").alias("tokens"), trimmed("spaced").alias("spaced"))
+    seen = seen.withColumn("runs", F.filter("spaced", lambda t: t.value.contains(" ") & shaped(t.value) & free(t)))
+    # a token in a longer candidate is a fragment, unless it looks like an identifier by itself
+    single = F.filter("tokens", lambda t: (F.length(t.value) > 0) & free(t) & (~within(t) | shaped(t.value)))
+    each = seen.select("row", F.explode(F.concat("bases", "runs", single)).alias("o")).select("row", "o.*")
     patterns = F.array(F.concat(F.lit("L "), "l2", F.lit(" "), "l1"), F.concat(F.lit("M "), "l1", F.lit(" _ "), "r1"))
     # a pattern needs both its words: others say nothing
-    return each.where("length(value) > 0").select("*", F.explode(F.filter(patterns, lambda p: ~p.rlike(r"^L  |^M  |_ $| $"))).alias("pattern")).drop("l1", "l2", "r1")
+    return each.select("*", F.explode(F.filter(patterns, lambda p: ~p.rlike(r"^L  |^M  |_ $| $"))).alias("pattern")).drop("l1", "l2", "r1")
 
 
 def bootstrap(scan: DataFrame, rounds: int = ROUNDS, accept: float = ACCEPT, min_seeds: int = MIN_SEEDS) -> DataFrame:
@@ -142,7 +176,7 @@ def bootstrap(scan: DataFrame, rounds: int = ROUNDS, accept: float = ACCEPT, min
         new = edges.where("kind is null").join(chosen, "pattern").where(shape).groupBy("value", F.col("of").alias("kind")).agg(F.least(noisy, F.lit(0.999)).alias("score"))
         scores = common.stored(seeds.unionByName(new), "scores")
     best = scores.where("score < 1").groupBy("value").agg(F.max(F.struct("score", "kind")).alias("b")).select("value", F.col("b.kind").alias("new_kind"))
-    found = seen.where("not based").join(chosen.select("pattern", "of"), "pattern").join(best, "value").where("of = new_kind")
+    found = seen.where("kind is null").join(chosen.select("pattern", "of"), "pattern").join(best, "value").where("of = new_kind")
     return found.select("row", F.col("new_kind").alias("kind"), "start", "end").distinct()
 
 
@@ -151,7 +185,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
     scan = scanned(docs)
     found = common.stored(bootstrap(scan), "found")
     extra = found.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("start", "end", "kind"))).alias("extra"))
-    return scan.drop("tokens").join(extra, "row", "left")
+    return scan.drop("tokens", "spaced").join(extra, "row", "left")
 
 
 def spans_text(found: DataFrame) -> DataFrame:
