@@ -176,6 +176,22 @@ def test_bootstrapping_of_identifiers_with_spaces(spark):
     assert red[100] == "please call me at [PHONE], thanks" and red[101] == "she paid with card [CARD] yesterday"
 
 
+def test_occurrences_have_no_limits(spark):
+    long = f"{'jane' * 30}7(at)mail.org"
+    rows = [(i, f"ref a{i}b1 mail user{i}@mail.org 4you {words(1, i)[0]}") for i in range(20)]
+    rows += [(100, f"ref q7q7 mail {long} 4you x"), (101, "one two " + "y" * 200 + " a@b.cd;e@f.gh;i@j.kl;m@n.op;q@r.st;u@v.wx end")]
+    rows += [(200 + i, f"reply to2 x9x9 user{i}@mail.org 22nd") for i in range(20)] + [(300, "reply to2 x9x9 joe5(at)mail.org 22nd")]
+    df = docs(spark, rows)
+    out = {r.doc_id: r.spans for r in pii.spans_text(pii.find_pii(df)).collect()}
+    assert out[100] == f"email:14:{14 + len(long)}" and out[300] == "email:15:31"
+    seen = pii._occurrences(pii.scanned(df.where("doc_id in (101, 300)"))).collect()
+    assert {r.pattern for r in seen if r.value == "joe5(at)mail.org"} == {"L to2 x9x9", "M x9x9 _ 22nd"}
+    y = "y" * 200
+    assert f"L two {y}" in {r.pattern for r in seen if r.value == "a@b.cd"}
+    assert f"L {y} a@b.cd;e@f.gh;i@j.kl;m@n.op;q@r.st;" in {r.pattern for r in seen if r.value == "u@v.wx"}
+    assert "M a@b.cd; _ ;i@j.kl;m@n.op;q@r.st;u@v.wx" in {r.pattern for r in seen if r.value == "e@f.gh"}
+
+
 def test_redaction(spark):
     rows = [(1, "é a@b.cd, 1.2.3.4"), (2, None), (3, "clean"), (4, ""), (1, "é a@b.cd, 1.2.3.4"), (5, "+1 4445513251889405 x")]
     out = sorted(((r.doc_id, r.text) for r in pii.redact(docs(spark, rows)).collect()), key=str)

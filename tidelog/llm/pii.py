@@ -47,20 +47,20 @@ SHAPES = {
     "card": r"^(?:[0-9]\x20*+[._-]?\x20*+){12,18}[0-9]$",
     "phone": r"^[+]?[(]?[0-9](?:[()./_\x20-]*+[0-9]){6,14}$",
 }
-TOKEN = r"(?<!\S)(?=\S*[0-9@])\S{4,64}(?!\S)"
+TOKEN = r"(?<!\S)(?=\S*[0-9@])\S{4,}+"
 #: Identifiers of several words: a run of digit groups; a name, an at sign and a domain.
 SPACED = r"(?<!\S)[+(]*+[0-9][0-9().:/_+-]*+(?:\x20++[0-9().:/_+-]++(?=[,;!?\]\"']*+(?!\S)))++|(?<!\S)\S*[A-Za-z0-9]\x20*+(?:@|\(at\)|\[at\])\x20*+[A-Za-z0-9]\S*+"
 #: The last word and the word before it (an opening bracket or quote at the end is no word); the next word.
 L1, L2 = r"(?s)^.*(?<!\S)(?![(\[\"'<]++$)(\S++)\s*+[(\[\"'<]*+$", r"(?s)^.*(?<!\S)(\S++)\s++(?![(\[\"'<]++$)\S++\s*+[(\[\"'<]*+$"
 R1 = r"^(?:[.,;:!?)\]\"']++(?!\S))?+\s*+(\S++)"
-MARK, STAND_IN, CONTEXT = "\ue000", "\ue001", 80
+MARK, STAND_IN = "\ue000", "\ue001"
 SPAN = "array<struct<start:long,end:long,value:string>>"
 SEEN = SPAN.replace("value:string", "value:string,l1:string,l2:string,r1:string")
 EXTRA = "array<struct<start:long,end:long,kind:string>>"
 ROUNDS, ACCEPT, MIN_SEEDS = 3, 0.8, 3
 
 
-def located(text: Column, pattern: str, keep: Callable[[Column], Column] | None = None, context: int = 0) -> Column:
+def located(text: Column, pattern: str, keep: Callable[[Column], Column] | None = None, context: bool = False) -> Column:
     """Array of (start, end, value[, l1, l2, r1]) of the matches of ``pattern``, in order: those
     that ``keep`` holds for, with the two words to the left and the word to the right."""
     clean = F.translate(text, MARK, STAND_IN)
@@ -77,8 +77,17 @@ def located(text: Column, pattern: str, keep: Callable[[Column], Column] | None
         spans = F.aggregate(F.sequence(F.lit(0), F.size(parts) - 1), start, step, lambda s: s.out)
         if keep is not None:
             spans = F.filter(spans, lambda s: keep(s.value))
-        left = lambda s: F.right(F.get(parts, s.i - 1), F.lit(context))
-        right = lambda s: F.left(F.get(parts, s.i + 1), F.lit(context))
+        piece = lambda i: F.coalesce(F.get(parts, i), F.lit(""))
+
+        def left(s: Column) -> Column:
+            """The text before: as a rule two matches and the gaps around them hold two words."""
+            near = F.concat(*[piece(s.i - k) for k in (5, 4, 3, 2, 1)])
+            return F.when((s.i <= 5) | near.rlike(r"\s\S++\s++\S++\s*+[(\[\"'<]*+$"), near).otherwise(F.array_join(F.slice(parts, F.lit(1), s.i), ""))
+
+        def right(s: Column) -> Column:
+            near = F.concat(*[piece(s.i + k) for k in (1, 2, 3)])
+            return F.when((s.i + 4 >= F.size(parts)) | near.rlike(R1 + r"\s"), near).otherwise(F.array_join(F.slice(parts, s.i + 2, F.size(parts)), ""))
+
         words = lambda s: [word(left(s), L1).alias("l1"), word(left(s), L2).alias("l2"), word(right(s), R1).alias("r1")] if context else []
         return F.transform(spans, lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), s.value.alias("value"), *words(s)))
 
@@ -107,7 +116,7 @@ def valid(kind: str, v: Column) -> Column:
     return F.lit(True)
 
 
-def base_spans(text: Column, kind: str, context: int = 0) -> Column:
+def base_spans(text: Column, kind: str, context: bool = False) -> Column:
     return located(F.coalesce(text, F.lit("")), PATTERNS[kind], lambda v: valid(kind, v), context)
 
 
@@ -126,7 +135,7 @@ def written(spans: Column) -> Column:
 def scanned(docs: DataFrame) -> DataFrame:
     """(row, doc_id, email, ip, card, phone, tokens, spaced): one pass over the texts, stored."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), *[base_spans(text, k, CONTEXT).alias(k) for k in KINDS], located(text, TOKEN, context=CONTEXT).alias("tokens"), located(text, SPACED, lambda v: v.contains(" ") & v.rlike("[0-9@]"), CONTEXT).alias("spaced"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), *[base_spans(text, k, True).alias(k) for k in KINDS], located(text, TOKEN, context=True).alias("tokens"), located(text, SPACED, lambda v: v.contains(" ") & v.rlike("[0-9@]"), True).alias("spaced"))
     return common.stored(rows, "scan")
 
 
