@@ -244,3 +244,21 @@ def test_other_attributes_are_article(attr):
 def test_density_prefers_text_to_links():
     page = "<body><div>" + "<a href=x>menu item</a> " * 30 + "</div><div><p>" + "real words in a row " * 20 + "</p><p>" + "and more of them " * 20 + "</p></div></body>"
     assert "menu item" not in html_text.extract(page) and "real words" in html_text.extract(page)
+
+
+LONG = "".join(f"<p>{'wordy ' * 66}{i}</p>" for i in range(8))
+LONG_TEXT = "\n".join(f"{'wordy ' * 66}{i}" for i in range(8))
+MENU = "<div>" + "<a href=x>menu item</a> " * 30 + "</div>"
+
+
+@pytest.mark.parametrize("body,before,after", [
+    (f"<article><h1>{'Head ' * 12}</h1><div>{LONG}</div></article>", ("Head " * 12).strip(), ""),
+    (f"<article>{'intro ' * 50}<section>{LONG}</section>loose end</article>", ("intro " * 50).strip(), "loose end"),
+    (f"<article><div><h1>Head</h1><p>By <a href=j>Jane Doe</a></p></div><div><div>{LONG}</div></div></article>", "Head\nBy Jane Doe", ""),
+    (f"<div>{MENU}<h1><a href=x>Head</a></h1>loose <a href=y>and linked</a> text<div>{LONG}</div><p>Caption</p></div>{MENU}", "Head\nloose and linked text", "Caption"),
+    (f"<h1>Head</h1><div><div>{LONG}</div></div>{MENU}", "Head", ""),
+    (f"<main><h1>Head</h1>{MENU}<div><p>Intro</p><div>{LONG}</div></div></main>", "Head\nIntro", ""),
+    (f"<main><h1>Head</h1><article><p>Intro</p><div>{LONG}</div></article></main>", "Head\nIntro", ""),
+])
+def test_text_beside_the_densest_subtree(body, before, after):
+    assert html_text.extract(PAGE % body) == "\n".join(filter(None, [before, LONG_TEXT, after]))

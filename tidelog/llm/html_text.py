@@ -9,7 +9,11 @@ the share of linked text in the node and in the page. A node's density sum adds
 densities of its children (text of its own counts as a child). The body's node with the
 largest sum sets the threshold: the least density on the path from body to it. From
 body down, every node at or above the threshold whose siblings' best sum it holds gives
-the subtree of the largest sum below it; all blocks of those subtrees are the text.
+the subtree of the largest sum below it; all blocks of those subtrees are the text. A
+subtree within an article element stands for the whole article. Around the subtree of
+the largest sum, the nearest ancestor that holds other text than links is kept, too (or
+the main element, where that is further out): headlines, intros, loose text; its blocks
+of links are not.
 
 Blocks end at block elements; character references are decoded, white space within a
 block is one space, blocks are joined by a newline in page order.
@@ -38,6 +42,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style noscript template iframe svg math object canvas audio video textarea title xmp".split())
 APART = frozenset("head nav aside form button select option fieldset dialog menu footer".split())
 BLOCK = frozenset("html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption header address details summary center hgroup search".split())
+HEADLINE = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: An opening tag of these closes an open p; these close an open element of their own kind.
 CLOSES_P = BLOCK - frozenset("html body tr td th thead tbody tfoot caption figcaption summary dt dd li".split()) | frozenset({"hr", "nav", "aside", "form", "fieldset", "footer", "menu", "dialog"})
 OWN_KIND = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
@@ -174,8 +179,8 @@ def _density(c: int, t: int, lc: int, lt: int, page: float) -> float:
     return max(0.0, c / t * math.log(max(1.0 + 1e-9, c / some * t / lt) + 1, base + 1e-9)) if base > 0 else 0.0
 
 
-def _blocks(node: Node, out: list[list[str]]) -> None:
-    """Text of the subtree, split into blocks."""
+def _blocks(node: Node, out: list[list[str]], links: set[tuple[Node, int]]) -> None:
+    """Text of the subtree, split into blocks, without the items (node, place) in ``links``."""
     stack: list[Node | str | None] = [node]
     while stack:
         x = stack.pop()
@@ -184,11 +189,37 @@ def _blocks(node: Node, out: list[list[str]]) -> None:
         elif isinstance(x, str):
             out[-1].append(x)
         elif not x.apart:
-            block = x.tag in BLOCK or x.tag == "hr"
+            block = _is_block(x)
             if block:
                 out.append([])
                 stack.append(None)
-            stack += reversed(x.items)
+            stack += [k for i, k in reversed([*enumerate(x.items)]) if (x, i) not in links]
+
+
+def _is_block(x: Node | str) -> bool:
+    return isinstance(x, Node) and (x.tag in BLOCK or x.tag == "hr")
+
+
+def _beside(x: Node, holding: set[Node]) -> tuple[int, set[tuple[Node, int]]]:
+    """Characters that ``x`` holds beside its items in ``holding``, and the items that are no
+    more than links: blocks, or the text between two blocks, all of it or, from three links
+    on, over half of it linked. A headline is never one."""
+    runs: list[list[int]] = [[]]
+    for i, k in enumerate(x.items):
+        if k in holding or _is_block(k):
+            runs += [[] if k in holding else [i], []]
+        else:
+            runs[-1].append(i)
+    chars, links = 0, set()
+    for run in runs:
+        kids = [k for k in (x.items[i] for i in run) if isinstance(k, Node) and not k.apart]
+        n = sum(k.chars for k in kids) + sum(len("".join(x.items[i].split())) for i in run if isinstance(x.items[i], str))
+        linked, many = sum(k.link_chars for k in kids), sum(k.links + (k.tag == "a") for k in kids)
+        if linked and (linked >= n or many > 2 and 2 * linked > n) and not any(k.tag in HEADLINE for k in kids):
+            links |= {(x, i) for i in run}
+        else:
+            chars += n
+    return chars, links
 
 
 def extract(html: str | None) -> str:
@@ -219,13 +250,35 @@ def extract(html: str | None) -> str:
         chosen.add(best[x])
         if best[x] is not x:  # what lies beside the chosen subtree may be article, too
             stack += [k for k in x.items if isinstance(k, Node) and not k.apart]
+    article: dict[Node, Node | None] = {}  # the outermost around each node
+    for x in order:
+        article[x] = article.get(x.parent) or (x if x.tag == "article" else None)
+    whole = {article[x] or x for x in chosen | {top}}
+    holding: set[Node] = set()
+    for x in whole:
+        while x is not None and x not in holding:
+            holding.add(x)
+            x = x.parent
+    # around the main subtree, the nearest ancestor that holds more than it and links, and main
+    inner = node = top
+    while node is not None:
+        inner = node if node in whole else inner
+        node = node.parent
+    outer, links, near = inner, set(), False
+    while inner.parent is not None:
+        inner = inner.parent
+        chars, more = _beside(inner, holding)
+        links |= more
+        if inner.tag == "main" or chars and not near:
+            outer, near = inner, True
+    kept = whole | {outer}
     parts: list[list[str]] = [[]]
     stack = [root]
     while stack:
         x = stack.pop()
-        if x in chosen:
+        if x in kept:
             parts.append([])
-            _blocks(x, parts)
+            _blocks(x, parts, set() if x in whole else links)
             parts.append([])
         else:
             stack += [k for k in reversed(x.items) if isinstance(k, Node) and not k.apart]
