@@ -58,6 +58,21 @@ def test_rejection_keeps_rows_whole(spark):
     assert len(left) == len(set(left)) and sum(i % 7 == 0 for i in left) < 5 and sum(i % 7 != 0 for i in left) > 505
 
 
+def test_lexicons_are_mined_on_all_labelled_rows(spark, monkeypatch):
+    class Seen(Exception):
+        pass
+
+    def mine(labelled):
+        raise Seen(labelled.count())
+
+    monkeypatch.setattr(toxicity, "mine", mine)
+    n = 33_000
+    ids = spark.range(n).withColumnRenamed("id", "doc_id")
+    with pytest.raises(Seen) as seen:
+        toxicity.fit(ids.withColumn("text", F.lit("some words")), ids.withColumn("toxic", F.lit(0)))
+    assert seen.value.args[0] == sum(not held_out(i) for i in range(n)) > 20_000
+
+
 def test_label_model_finds_accuracies_and_correlations():
     rng = np.random.default_rng(0)
     y = rng.random(20_000) < 0.2

@@ -8,9 +8,9 @@ correlation is left within the classes, joint tables for groups of correlated vo
 training labels hold the class of their documents. The posterior labels train a sparse
 linear classifier on hashed terms and stems, which scores every whole text.
 
-Bounds: lexicons are mined on ``MINE_ROWS`` labelled rows, the classifier is fitted on
-``FIT_ROWS`` rows of either posterior class, both by smallest hash of doc_id. Votes,
-their counts, and scores cover all rows. Only rows with crc32(doc_id as text) mod 3
+Bound: the classifier is fitted on ``FIT_ROWS`` rows of either posterior class, by
+smallest hash of doc_id. Mined lexicons cover all labelled training rows; votes, their
+counts, and scores cover all rows. Only rows with crc32(doc_id as text) mod 3
 other than 1 give labels or are fitted on. Labels, language, source and id are no input
 of a score.
 
@@ -34,7 +34,7 @@ from . import common
 from .wordhash import U, Words, mix, term_hash
 
 THRESHOLD = 0.7
-MINE_ROWS, FIT_ROWS, BITS = 20_000, 4_000, 20
+FIT_ROWS, BITS = 4_000, 20
 #: Bytes of a term's stems: insults inflect.
 STEMS = (4, 5)
 #: The voters' lexicons.
@@ -85,7 +85,7 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def mine(labelled: DataFrame, precision: float = 0.9, support: float = 0.01) -> list[np.ndarray]:
-    """Sorted term hashes of each mined voter. ``labelled``: (doc_id, text, toxic), bounded."""
+    """Sorted term hashes of each mined voter. ``labelled``: (doc_id, text, toxic)."""
     labelled = labelled.dropDuplicates(["text"])  # a text's copies say no more than the text
     terms = labelled.mapInArrow(_term_counts, "term long, n long, n_toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("n_toxic").alias("n_toxic"))
     positives = labelled.agg(F.sum("toxic")).first()[0] or 0
@@ -282,13 +282,13 @@ def _score(w: np.ndarray, bias: float):
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, mine_rows: int = MINE_ROWS, fit_rows: int = FIT_ROWS) -> tuple[np.ndarray, float, LabelModel]:
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[np.ndarray, float, LabelModel]:
     """The classifier's weights and bias, and the label model."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = labels.where(training("doc_id") & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("toxic") >= 0.5).cast("long").alias("toxic"))
     known = common.stored(known, "labels")
-    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(mine_rows)
-    labelled = common.stored(texts.join(F.broadcast(sample), "doc_id"), "labelled")  # at most mine_rows rows
+    few = known.count() <= common.BROADCAST_KEYS // 2  # two longs a row
+    labelled = common.stored(texts.join(F.broadcast(known) if few else known, "doc_id"), "labelled")
     lexicons = [term_hash(words) for words in LEXICONS.values()] + mine(labelled)
     voted = common.stored(texts.mapInArrow(_votes(lexicons, len(LEXICONS)), "doc_id long, votes long"), "votes")
     table = voted.join(known, "doc_id", "left").groupBy("votes", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()  # at most 3 * 2**voters rows
