@@ -23,11 +23,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies, the document with the smallest doc_id; one row of a
-    repeated doc_id; rows without doc_id stay."""
+    """Of each class of near copies, the document with the smallest doc_id; one row of
+    those that share doc_id and text; rows without doc_id stay."""
     classes = near_dedup.near_duplicates(docs)
     kept = common.stored(classes.where(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct(), "kept")
-    known = common.keep_keys(docs.where("doc_id is not null"), kept, "doc_id").dropDuplicates(["doc_id"])
+    known = common.keep_keys(docs.where("doc_id is not null"), kept, "doc_id")
+    known = known.withColumn("__text", F.md5("text")).dropDuplicates(["doc_id", "__text"]).drop("__text")
     return known.unionByName(docs.where("doc_id is null"))
 
 

@@ -55,6 +55,12 @@ def test_stages(spark, tmp_path):
     assert Counter(r.doc_id for r in d.where("piece = 0").collect()) == Counter(r.doc_id for r in before.collect())
 
 
+def test_texts_that_share_a_doc_id_stay(spark, tmp_path):
+    rows = [(1, " ".join(words(60, 1))), (1, " ".join(words(60, 2))), (1, " ".join(words(60, 2))), (2, " ".join(words(60, 3))), (2, None), (2, None), (3, " ".join(words(60, 3)))]
+    kept = pipeline.drop_near_copies(spark, docs(spark, rows), str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter(set(rows[:6]))
+
+
 def test_pipeline_of_nothing(spark, tmp_path):
     corpus(spark, tmp_path / "full")
     for t in ("documents", "labels"):
