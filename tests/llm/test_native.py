@@ -69,6 +69,12 @@ def test_mix_repeats_rows_in_order(spark):
     want = defaultdict(int)
     for r in mixing.curriculum(df).collect():
         want[r.doc_id] += r.copies
+    times_of = defaultdict(list)  # the k-th copy of a document has its k-th position
+    for r in mixing.in_training_order(mixing.curriculum(df)).collect():
+        times_of[r.doc_id].append(r.position)
+    parts = [[times_of[r.doc_id].pop(0) for r in part] for part in mixing.mix(df).rdd.glom().collect()]
+    in_order = [t for p in parts for t in p]
+    assert in_order == sorted(in_order) and sum(map(bool, parts)) > 1 and not any(times_of.values())
     assert {k: sum(v for (i, _), v in times.items() if i == k) for k in want} == dict(want)
     assert mixing.mix(docs(spark, [])).count() == 0 and mixing.curriculum(docs(spark, [])).count() == 0
 
@@ -76,7 +82,7 @@ def test_mix_repeats_rows_in_order(spark):
 def test_native_plans_have_no_python(spark):
     plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
     d = docs(spark, [(1, "a@b.cd x", "s")])
-    for df in (mixing.curriculum(d), pii.find_pii(d), pii.redact(d)):
+    for df in (mixing.curriculum(d), mixing.mix(d), pii.find_pii(d), pii.redact(d)):
         assert not re.search("Python|Arrow|Pandas", plan(df))
 
 

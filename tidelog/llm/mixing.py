@@ -4,17 +4,21 @@ Each source has a weight schedule, piecewise linear over training time 0..1. Its
 integral is the source's weight; the targets share all words by weight, stop at
 ``max_repeats`` times the source's own words, and share the excess by weight among the
 others (closed form: sources by ascending cap/weight, the first level of the water that
-no later source exceeds). A source's documents, in the order of a hash of their ids,
-form its word stream, repeated as often as the target needs. The cumulative demand
+no later source exceeds). A source's documents, in the order of a hash of their ids and
+texts, form its word stream, repeated as often as the target needs. The cumulative demand
 target * integral(0..t) / integral(0..1) is inverted at the middle of each document's
 words, which gives the document's training position; documents are range-sorted by it.
 
-A source's running word count is made of buckets of the hash (their sums are few rows)
-and a window within a bucket, so that a source with a third of all rows is many tasks.
+A source's running word count is made of cells of the hash (their sums are few rows)
+and a window within a cell, so that a source with a third of all rows is many tasks.
+``mix`` moves the texts twice: once to their cell, where they get their positions, and
+each copy once to its range of training time. Ranges hold about equal words: the demand
+of all cells is summed over a grid of times, which is cut into equal parts.
 
 Defined results: null text has size 0; documents of size 0 are never taken; a null
 source is a source of its own, the last one; a source without words has target 0; an
-empty table gives an empty result; rows that share a doc_id are documents each.
+empty table gives an empty result; rows that share a doc_id are documents each (rows
+that share the text, too, are one cell's); other columns are carried whatever their names.
 """
 
 from __future__ import annotations
@@ -27,16 +31,22 @@ from pyspark.sql.window import Window
 
 from . import common
 
-MAX_REPEATS, WEIGHTS = 3, (1.0, 2.0, 3.0)
+MAX_REPEATS = 3
+#: Schedules of the sources in turn, from the weight at time 0 to that at time 1: they integrate to 1, 2 and 3.
+RAMPS = ((1.5, 0.5), (2.0, 2.0), (2.0, 4.0))
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows of a source that a window sorts at once, about; sources up to which their table is broadcast.
-ROWS_PER_BUCKET, BROADCAST_SOURCES = 4_000, 20_000
+#: Documents and words of a cell, about: what a window sorts at once.
+CELL_ROWS, CELL_WORDS = 4_000, 2_000_000
+#: Bytes of text of a task that moves texts; grid steps of training time for each of these tasks.
+TASK_BYTES, STEPS = 64 << 20, 16
+#: Up to so many sources (and bytes of their names) and cells are broadcast, as counted.
+BROADCAST_SOURCES, BROADCAST_NAMES, BROADCAST_CELLS = 20_000, 4 << 20, 100_000
 KNOTS = "array<struct<t:double,w:double>>"
 
 
-def constant(weight: Column) -> Column:
-    """A schedule that stays at ``weight``."""
-    return F.array(F.struct(F.lit(0.0).alias("t"), weight.cast("double").alias("w")), F.struct(F.lit(1.0).alias("t"), weight.cast("double").alias("w")))
+def ramp(start: Column, end: Column) -> Column:
+    """A schedule that goes straight from one weight to another."""
+    return F.array(F.struct(F.lit(0.0).alias("t"), start.cast("double").alias("w")), F.struct(F.lit(1.0).alias("t"), end.cast("double").alias("w")))
 
 
 def segments(knots: Column) -> Column:
@@ -79,38 +89,98 @@ def targets(sources: DataFrame, max_repeats: int = MAX_REPEATS) -> DataFrame:
     return level.withColumn("target", target).drop("cap", "total", "capped", "open", "at", "level", "first")
 
 
-def curriculum(docs: DataFrame, schedules: DataFrame | None = None, weights: Sequence[float] = WEIGHTS, max_repeats: int = MAX_REPEATS, order_by: str = "doc_id") -> DataFrame:
+def _streamed(docs: DataFrame, row: Column) -> DataFrame:
+    """(row, source, size, order): a row for each document."""
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    order = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), text))
+    return docs.select(row.alias("row"), F.col("source").cast("string").alias("source"), size.alias("size"), order.alias("order"))
+
+
+class Plan:
+    """What the sources' sums decide, as small tables: ``sources`` (of, sid, buckets, source_size,
+    target, segs, weight) and ``cells`` (sid, bucket, before, words)."""
+
+    def __init__(self, streamed: DataFrame, schedules: DataFrame | None, ramps: Sequence[tuple[float, float]], max_repeats: int):
+        slim = streamed.select("source", "order", "size")
+        sources = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
+        sources = sources.withColumn("sid", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
+        if schedules is None:
+            each = F.element_at(F.array(*[ramp(F.lit(a), F.lit(b)) for a, b in ramps]), (F.col("sid") - 1) % len(ramps) + 1)
+            sources = sources.withColumn("knots", each)
+        else:
+            given = schedules.select(F.col("source").alias("of"), "knots")
+            sources = sources.join(given, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
+            sources = sources.withColumn("knots", F.coalesce("knots", ramp(F.lit(0.0), F.lit(0.0))))
+        sources = sources.withColumn("segs", segments(F.col("knots"))).withColumn("weight", integral(F.col("segs")))
+        buckets = F.greatest(F.ceil(F.col("n") / CELL_ROWS), F.ceil(F.col("source_size") / CELL_WORDS))
+        sources = targets(sources.where("weight > 0"), max_repeats).select(F.col("source").alias("of"), "sid", buckets.alias("buckets"), "source_size", "target", "segs", "weight")
+        self.sources = common.stored(sources, "sources")
+        n, names = self.sources.agg(F.count(F.lit(1)), F.sum(F.octet_length("of"))).first()
+        self.few = n <= BROADCAST_SOURCES and (names or 0) <= BROADCAST_NAMES
+        cells = self.bucketed(slim).groupBy("sid", "bucket").agg(F.sum("size").alias("words"))
+        before = F.coalesce(F.sum("words").over(Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        self.cells = common.stored(cells.withColumn("before", before), "cells")
+        self.few_cells = self.cells.count() <= BROADCAST_CELLS
+
+    def _side(self, df: DataFrame, few: bool) -> DataFrame:
+        return F.broadcast(df) if few else df
+
+    def bucketed(self, streamed: DataFrame) -> DataFrame:
+        """With ``sid`` and ``bucket`` in place of the source."""
+        own = self._side(self.sources.select("of", "sid", "buckets"), self.few)
+        at = F.floor(F.conv(F.substring("order", 1, 8), 16, 10).cast("long") * F.col("buckets") / (1 << 32))
+        return streamed.join(own, F.col("source").eqNullSafe(F.col("of"))).withColumn("bucket", at).drop("of", "source", "buckets")
+
+    def placed(self, streamed: DataFrame, tasks: int) -> DataFrame:
+        """(row, size, source_size, target, copies, positions): the rows move to their cells here."""
+        run = F.sum("size").over(Window.partitionBy("sid", "bucket").orderBy("order").rowsBetween(Window.unboundedPreceding, 0))
+        moved = self.bucketed(streamed).repartition(tasks, "sid", "bucket").withColumn("run", run)
+        moved = moved.join(self._side(self.cells.select("sid", "bucket", "before"), self.few_cells), ["sid", "bucket"])
+        moved = moved.join(self._side(self.sources.drop("of", "buckets"), self.few), "sid")
+        return self._positions(moved.withColumn("middle", F.col("before") + F.col("run") - F.col("size") / 2)).select("row", "size", "source_size", "target", "copies", "positions")
+
+    def _positions(self, moved: DataFrame) -> DataFrame:
+        passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
+        rest = F.col("target") - F.col("passes") * F.col("source_size")
+        copies = F.when(F.col("size") > 0, F.col("passes") + F.when(F.col("middle") < rest, 1).otherwise(0)).otherwise(0)
+        share = lambda k: F.least(F.lit(1.0), (F.col("middle") + k * F.col("source_size")) / F.col("target"))
+        positions = F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1), lambda k: invert(F.col("segs"), F.col("weight"), share(k)))).otherwise(F.array().cast("array<double>"))
+        return moved.withColumn("passes", passes.cast("long")).withColumn("copies", copies.cast("long")).withColumn("positions", positions)
+
+    def grid(self, tasks: int) -> DataFrame:
+        """(step, part): training time in ``tasks`` * STEPS steps, cut into ``tasks`` parts of about equal words."""
+        steps = tasks * STEPS
+        cells = self.cells.withColumnRenamed("words", "size").join(self._side(self.sources.drop("of", "buckets"), self.few), "sid")
+        cells = self._positions(cells.withColumn("middle", F.col("before") + F.col("size") / 2))
+        words = cells.select("size", F.explode("positions").alias("t")).groupBy(step_of("t", steps).alias("step")).agg(F.sum("size").alias("words"))
+        every = cells.sparkSession.range(steps).withColumnRenamed("id", "step").join(words, "step", "left")
+        until = F.sum(F.coalesce("words", F.lit(0))).over(Window.orderBy("step"))  # over steps, not rows
+        every = every.withColumn("until", until).withColumn("all", F.max("until").over(Window.partitionBy()))
+        part = F.floor(tasks * (F.col("until") - F.coalesce("words", F.lit(0)) / 2) / F.greatest("all", F.lit(1)))
+        return every.select("step", F.least(part, F.lit(tasks - 1)).cast("int").alias("part"))
+
+
+def step_of(position: str, steps: int) -> Column:
+    return F.least(F.floor(F.col(position) * steps), F.lit(steps - 1)).cast("long")
+
+
+def tasks_for(docs: DataFrame) -> int:
+    """Tasks that move the texts: TASK_BYTES each, but no fewer than shuffles have."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(common.shuffle_partitions(docs.sparkSession), -(-size // TASK_BYTES))
+
+
+def curriculum(docs: DataFrame, schedules: DataFrame | None = None, ramps: Sequence[tuple[float, float]] = RAMPS, max_repeats: int = MAX_REPEATS) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken, copies, positions): ``taken`` words
     in ``copies`` copies at ascending training ``positions``. ``schedules``: (source, knots)
-    with knots array<struct<t, w>>; without it the sources by code point weigh ``weights``,
-    repeating, at all times. A source without schedule weighs nothing."""
-    sized = common.stored(docs.select("doc_id", F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "sized")
-    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
-    if schedules is None:
-        turn = (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % len(weights) + 1
-        sources = sources.withColumn("knots", constant(F.element_at(F.array(*map(F.lit, weights)), turn)))
-    else:
-        given = schedules.select(F.col("source").alias("of"), "knots")
-        sources = sources.join(given, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
-        sources = sources.withColumn("knots", F.coalesce("knots", constant(F.lit(0.0))))
-    sources = sources.withColumn("segs", segments(F.col("knots"))).withColumn("weight", integral(F.col("segs")))
-    sources = common.stored(targets(sources.where("weight > 0"), max_repeats).withColumn("buckets", F.ceil(F.col("n") / ROWS_PER_BUCKET)).select(F.col("source").alias("of"), "source_size", "target", "segs", "weight", "buckets"), "sources")
-    side = F.broadcast(sources) if sources.count() <= BROADCAST_SOURCES else sources
-    order = F.md5(F.coalesce(F.col(order_by).cast("string"), F.lit("")))
-    placed = sized.join(side, F.col("source").eqNullSafe(F.col("of"))).withColumn("order", order).withColumn("bucket", F.floor(F.conv(F.substring("order", 1, 6), 16, 10).cast("long") * F.col("buckets") / (1 << 24)))
-    cells = placed.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
-    before = F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cells = cells.select(F.col("source").alias("cell_source"), F.col("bucket").alias("cell_bucket"), before.alias("before"))
-    run = F.sum("size").over(Window.partitionBy("source", "bucket").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
-    placed = placed.withColumn("run", run).join(cells, F.col("source").eqNullSafe(F.col("cell_source")) & (F.col("bucket") == F.col("cell_bucket")))
-    size, middle = F.col("size"), F.col("before") + F.col("run") - F.col("size") / 2
-    passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    rest = F.col("target") - F.col("passes") * F.col("source_size")
-    copies = F.when(size > 0, F.col("passes") + F.when(F.col("middle") < rest, 1).otherwise(0)).otherwise(0)
-    placed = placed.withColumn("passes", passes.cast("long")).withColumn("middle", middle).withColumn("copies", copies.cast("long"))
-    share = lambda k: F.least(F.lit(1.0), (F.col("middle") + k * F.col("source_size")) / F.col("target"))
-    positions = F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1), lambda k: invert(F.col("segs"), F.col("weight"), share(k)))).otherwise(F.array().cast("array<double>"))
-    return placed.select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * size).alias("taken"), "copies", positions.alias("positions"))
+    with knots array<struct<t, w>>; without it the sources by code point get ``ramps`` in turn.
+    A source without schedule weighs nothing."""
+    own = F.struct("doc_id", F.col("source").cast("string").alias("source"))
+    streamed = common.stored(_streamed(docs, own), "streams")
+    plan = Plan(streamed, schedules, ramps, max_repeats)
+    placed = plan.placed(streamed, common.shuffle_partitions(docs.sparkSession))
+    return placed.select("row.doc_id", "row.source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "positions")
 
 
 def in_training_order(mixed: DataFrame) -> DataFrame:
@@ -118,24 +188,24 @@ def in_training_order(mixed: DataFrame) -> DataFrame:
     return mixed.withColumn("position", F.explode("positions")).drop("positions", "copies", "taken").orderBy("position", F.col("source").asc_nulls_last(), "doc_id")
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it, in training order. Positions
-    are spread evenly over the words, so equal ranges of time are the partitions. Rows that
-    share doc_id and text are one row repeated."""
-    keys = ["doc_id", "__text"]
-    keyed = docs.withColumn("__text", F.xxhash64("text"))
-    mixed = curriculum(keyed.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), "__text").alias("doc_id"), "source", "text"), order_by="doc_id.doc_id", **options)
-    mixed = mixed.groupBy("doc_id").agg(F.flatten(F.collect_list("positions")).alias("__positions")).select(F.col("doc_id.doc_id").alias("__id"), F.col("doc_id.__text").alias("__of"), "__positions").where(F.size("__positions") > 0)
-    rows = keyed.dropDuplicates(keys).join(mixed, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__of")))
-    rows = rows.withColumn("__position", F.explode("__positions"))
-    n = common.shuffle_partitions(docs.sparkSession)
-    part = F.least(F.floor(F.col("__position") * n), F.lit(n - 1)).cast("int")
-    return rows.repartitionById(n, part).sortWithinPartitions("__position", "doc_id").select(*docs.columns)
+def mix(docs: DataFrame, schedules: DataFrame | None = None, ramps: Sequence[tuple[float, float]] = RAMPS, max_repeats: int = MAX_REPEATS) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it, in training order: partitions
+    are ranges of training time with about equal words, sorted by position."""
+    streamed = _streamed(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
+    slim = common.stored(streamed.select("source", "order", "size"), "streams")
+    plan = Plan(slim, schedules, ramps, max_repeats)
+    tasks = tasks_for(docs)
+    copies = plan.placed(streamed.where("size > 0"), tasks).select("row", F.explode("positions").alias("position"))
+    grid = common.stored(plan.grid(tasks), "grid")  # tasks * STEPS rows of 12 bytes
+    steps = tasks * STEPS
+    ranged = copies.withColumn("step", step_of("position", steps)).join(F.broadcast(grid), "step").drop("step")
+    return ranged.repartitionById(tasks, "part").sortWithinPartitions("position", "row.doc_id").select("row.*")
 
 
 ORACLE = r"""
 WITH sized AS (
-  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+    md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(text, '')) AS place FROM documents),
 sources AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
 weighted AS (
@@ -147,14 +217,19 @@ levels AS (
   FROM weighted WINDOW o AS (ORDER BY cap / weight, source NULLS LAST)),
 found AS (SELECT min(idx) AS idx FROM levels WHERE lvl * weight <= cap),
 aims AS (
-  SELECT l.source, l.source_size, CASE WHEN l.idx >= f.idx THEN (SELECT lvl FROM levels JOIN found USING (idx)) * l.weight ELSE l.cap END AS target
+  SELECT l.source, l.source_size, l.weight, CASE WHEN l.idx >= f.idx THEN (SELECT lvl FROM levels JOIN found USING (idx)) * l.weight ELSE l.cap END AS target
   FROM levels l, found f),
 streams AS (
-  SELECT s.doc_id, s.size, a.source_size, a.target,
-    sum(s.size) OVER (PARTITION BY s.source ORDER BY md5(coalesce(CAST(s.doc_id AS VARCHAR), '')), s.doc_id, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - s.size / 2.0 AS middle,
+  SELECT s.doc_id, s.size, a.source_size, a.target, a.weight,
+    CASE a.weight WHEN 1 THEN 1.5::DOUBLE ELSE 2::DOUBLE END AS w0, CASE a.weight WHEN 1 THEN 0.5::DOUBLE WHEN 2 THEN 2::DOUBLE ELSE 4::DOUBLE END AS w1,
+    CAST(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.place ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) - CAST(s.size AS DOUBLE) / 2 AS middle,
     CASE WHEN a.source_size > 0 THEN floor(a.target / a.source_size) ELSE 0 END AS passes
-  FROM sized s JOIN aims a ON s.source IS NOT DISTINCT FROM a.source)
-SELECT doc_id, size, source_size, target,
-  CAST(CASE WHEN size > 0 THEN (passes + CASE WHEN middle < target - passes * source_size THEN 1 ELSE 0 END) * size ELSE 0 END AS BIGINT) AS taken
-FROM streams
+  FROM sized s JOIN aims a ON s.source IS NOT DISTINCT FROM a.source),
+taken AS (
+  SELECT *, CAST(CASE WHEN size > 0 THEN passes + CASE WHEN middle < target - passes * source_size THEN 1 ELSE 0 END ELSE 0 END AS BIGINT) AS copies,
+    CASE WHEN target > 0 THEN least(1, middle / target) * weight END AS passed
+  FROM streams)
+SELECT doc_id, size, source_size, target, copies * size AS taken,
+  CASE WHEN copies > 0 THEN least(1, 2 * passed / (w0 + sqrt(greatest(0, w0 * w0 + 2 * (w1 - w0) * passed)))) END AS first_position
+FROM taken
 """

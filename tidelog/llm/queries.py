@@ -27,9 +27,8 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_curriculum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """In the order of the first training position; documents that are not taken come last."""
-    mixed = mixing.curriculum(table(spark, sf_dir, "documents"))
-    first = F.get("positions", F.lit(0))
-    return mixed.orderBy(first.asc_nulls_last(), "doc_id").select("doc_id", "size", "source_size", "target", "taken")
+    mixed = mixing.curriculum(table(spark, sf_dir, "documents")).withColumn("first_position", F.get("positions", F.lit(0)))
+    return mixed.orderBy(F.col("first_position").asc_nulls_last(), "doc_id").select("doc_id", "size", "source_size", "target", "taken", "first_position")
 
 
 def op3_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
