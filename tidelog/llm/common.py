@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Up to so many 8-byte keys a side may be broadcast; beyond it the join shuffles.
 BROADCAST_KEYS = 1_000_000
+#: Bytes up to which other sides may be broadcast, as summed over their rows.
+BROADCAST_BYTES = 16 << 20
 #: Rows of a stored table that a task writes, where the number of rows is known.
 ROWS_PER_TASK = 10_000
 
@@ -46,22 +48,42 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """``df`` written once to the shared folder and read again: cuts lineage, survives lost executors.
     ``rows``: about as many as the last stage works on; they size its tasks (ROWS_PER_TASK, but
-    no fewer tasks than cores), so that a small table isn't hundreds of files."""
+    no fewer tasks than cores), so that a small table isn't hundreds of files. The table goes
+    with the session, or before (``release``)."""
     spark = df.sparkSession
     if rows is not None:
         df = df.coalesce(max(spark.sparkContext.defaultParallelism, -(-rows // ROWS_PER_TASK)))
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+    _held.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def stored_path(df: DataFrame) -> str:
-    return df.inputFiles()[0].rsplit("/", 1)[0]
+#: Paths of stored tables by application.
+_held: dict[str, list[str]] = {}
+
+
+def mark(spark: SparkSession) -> int:
+    """How many stored tables there are, for ``release``."""
+    return len(_held.get(spark.sparkContext.applicationId, ()))
+
+
+def release(spark: SparkSession, since: int, unless: DataFrame) -> None:
+    """Remove the tables stored after ``since``, unless ``unless`` reads them. Only for tables
+    that nothing else will read: their frames must have been written or collected."""
+    paths = _held.get(spark.sparkContext.applicationId, [])
+    read = unless.inputFiles() if len(paths) > since else []
+    for path in paths[since:]:
+        tail = path.rsplit("/", 1)[1]
+        if not any(f"/{tail}/" in f for f in read):
+            remove_path(spark, path)
+            paths.remove(path)
 
 
 def remove_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 

@@ -40,6 +40,8 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+#: A character that every match holds.
+NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 #: What an unseen instance of a kind looks like at least.
 SHAPES = {
     "email": r"^[^@\s]*[A-Za-z0-9][^@\s]*\x20*(?:@|\(at\)|\[at\])\x20*[^@\s]*[A-Za-z0-9][^@\s]*$",
@@ -63,7 +65,7 @@ ROUNDS, ACCEPT, MIN_SEEDS = 3, 0.8, 3
 def located(text: Column, pattern: str, keep: Callable[[Column], Column] | None = None, context: bool = False) -> Column:
     """Array of (start, end, value[, l1, l2, r1]) of the matches of ``pattern``, in order: those
     that ``keep`` holds for, with the two words to the left and the word to the right."""
-    clean = F.translate(text, MARK, STAND_IN)
+    clean = F.replace(text, F.lit(MARK), F.lit(STAND_IN))
     split = F.split(F.regexp_replace(clean, pattern, f"{MARK}$0{MARK}"), MARK)
     word = lambda side, re: F.lower(F.regexp_extract(side, re, 1))
 
@@ -117,7 +119,10 @@ def valid(kind: str, v: Column) -> Column:
 
 
 def base_spans(text: Column, kind: str, context: bool = False) -> Column:
-    return located(F.coalesce(text, F.lit("")), PATTERNS[kind], lambda v: valid(kind, v), context)
+    text = F.coalesce(text, F.lit(""))
+    spans = located(text, PATTERNS[kind], lambda v: valid(kind, v), context)
+    # most texts hold no such character: a byte search is cheaper than a match
+    return F.when(text.contains(NEEDS[kind]), spans).otherwise(F.array().cast(SEEN if context else SPAN)) if kind in NEEDS else spans
 
 
 def kinded(spans: Column, kind: str) -> Column:
@@ -132,10 +137,14 @@ def written(spans: Column) -> Column:
     return F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end))
 
 
-def scanned(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, email, ip, card, phone, tokens, spaced): one pass over the texts, stored."""
+def scanned(docs: DataFrame, carried: bool = False) -> DataFrame:
+    """(row, doc_id, email, ip, card, phone, tokens, spaced[, doc]): one pass over the texts, stored;
+    ``doc`` holds all columns of ``docs``."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), *[base_spans(text, k, True).alias(k) for k in KINDS], located(text, TOKEN, context=True).alias("tokens"), located(text, SPACED, lambda v: v.contains(" ") & v.rlike("[0-9@]"), True).alias("spaced"))
+    some = text.rlike("[0-9@]")
+    seen = lambda pattern, keep=None: F.when(some, located(text, pattern, keep, True)).otherwise(F.array().cast(SEEN))
+    doc = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")] if carried else []
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), *[base_spans(text, k, True).alias(k) for k in KINDS], seen(TOKEN).alias("tokens"), seen(SPACED, lambda v: v.contains(" ") & v.rlike("[0-9@]")).alias("spaced"), *doc)
     return common.stored(rows, "scan")
 
 
@@ -220,19 +229,16 @@ def redacted(text: Column, spans: Column) -> Column:
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with the identifiers in ``text`` replaced by their kind, ``n_chars`` renewed if there."""
-    keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
-    scan = scanned(docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text"))
-    found = common.stored(bootstrap(scan), "found")
-    extra = found.join(scan.select("row", "doc_id"), "row").groupBy(F.col("doc_id").alias("__key")).agg(F.collect_set(F.struct("start", "end", "kind")).alias("__extra"))
+    scan = scanned(docs, carried=True)
+    extra = bootstrap(scan.drop("doc")).groupBy("row").agg(F.collect_set(F.struct("start", "end", "kind")).alias("extra"))
     extra = common.stored(extra, "extra")
-    n = extra.count()
-    text = F.coalesce("text", F.lit(""))
+    n, spans = extra.agg(F.count(F.lit(1)), F.sum(F.size("extra"))).first()
+    rows = scan.select("row", "doc", *KINDS)
     if n:
-        keyed = keyed.join(F.broadcast(extra) if n <= common.BROADCAST_KEYS // 20 else extra, "__key", "left")
+        rows = rows.join(F.broadcast(extra) if 32 * n + 48 * spans <= common.BROADCAST_BYTES else extra, "row", "left")
     else:
-        keyed = keyed.withColumn("__extra", F.lit(None).cast(EXTRA))
-    spans = F.array_sort(F.concat(*[kinded(base_spans(text, k), k) for k in KINDS], F.coalesce("__extra", F.array().cast(EXTRA))))
-    out = keyed.withColumn("__spans", spans).withColumn("text", F.when(F.col("text").isNotNull(), redacted(F.col("text"), F.col("__spans"))))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*docs.columns)
+        rows = rows.withColumn("extra", F.lit(None).cast(EXTRA))
+    every = F.array_sort(F.concat(*[kinded(F.col(k), k) for k in KINDS], F.coalesce("extra", F.array().cast(EXTRA))))
+    rows = rows.withColumn("spans", every).withColumn("clean", F.when(F.col("doc.text").isNotNull(), redacted(F.col("doc.text"), F.col("spans"))))
+    renewed = {"text": F.col("clean")} | ({"n_chars": F.length("clean").cast("long")} if "n_chars" in docs.columns else {})
+    return rows.select(*[renewed.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
