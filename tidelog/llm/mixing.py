@@ -37,8 +37,8 @@ RAMPS = ((1.5, 0.5), (2.0, 2.0), (2.0, 4.0))
 WORD = r"[^\x20\x09-\x0D]+"
 #: Documents and words of a cell, about: what a window sorts at once.
 CELL_ROWS, CELL_WORDS = 4_000, 2_000_000
-#: Bytes of text of a task that moves texts; grid steps of training time for each of these tasks.
-TASK_BYTES, STEPS = 64 << 20, 16
+#: Bytes of text of a task that moves texts; grid steps of training time, and points of words, for each of these tasks.
+TASK_BYTES, STEPS, POINTS = 64 << 20, 16, 32
 #: Up to so many sources (and bytes of their names) and cells are broadcast, as counted.
 BROADCAST_SOURCES, BROADCAST_NAMES, BROADCAST_CELLS = 20_000, 4 << 20, 100_000
 KNOTS = "array<struct<t:double,w:double>>"
@@ -149,15 +149,19 @@ class Plan:
         return moved.withColumn("passes", passes.cast("long")).withColumn("copies", copies.cast("long")).withColumn("positions", positions)
 
     def grid(self, tasks: int) -> DataFrame:
-        """(step, part): training time in ``tasks`` * STEPS steps, cut into ``tasks`` parts of about equal words."""
+        """(step, part): training time in ``tasks`` * STEPS steps, cut into ``tasks`` parts of about
+        equal words. A cell stands as points along its words: one, and one more for each
+        1 / POINTS of a part's words."""
         steps = tasks * STEPS
-        cells = self.cells.withColumnRenamed("words", "size").join(self._side(self.sources.drop("of", "buckets"), self.few), "sid")
-        cells = self._positions(cells.withColumn("middle", F.col("before") + F.col("size") / 2))
+        cells = self.cells.withColumn("share", F.sum("words").over(Window.partitionBy()) / (POINTS * tasks))
+        cells = cells.withColumn("points", 1 + F.floor(F.col("words") / F.greatest("share", F.lit(1.0)))).withColumn("point", F.explode(F.sequence(F.lit(0).cast("long"), F.col("points") - 1)))
+        cells = cells.withColumn("size", F.col("words") / F.col("points")).join(self._side(self.sources.drop("of", "buckets"), self.few), "sid")
+        cells = self._positions(cells.withColumn("middle", F.col("before") + (F.col("point") + 0.5) * F.col("size")))
         words = cells.select("size", F.explode("positions").alias("t")).groupBy(step_of("t", steps).alias("step")).agg(F.sum("size").alias("words"))
         every = cells.sparkSession.range(steps).withColumnRenamed("id", "step").join(words, "step", "left")
-        until = F.sum(F.coalesce("words", F.lit(0))).over(Window.orderBy("step"))  # over steps, not rows
+        until = F.sum(F.coalesce("words", F.lit(0.0))).over(Window.orderBy("step"))  # over steps, not rows
         every = every.withColumn("until", until).withColumn("all", F.max("until").over(Window.partitionBy()))
-        part = F.floor(tasks * (F.col("until") - F.coalesce("words", F.lit(0)) / 2) / F.greatest("all", F.lit(1)))
+        part = F.floor(tasks * (F.col("until") - F.coalesce("words", F.lit(0.0)) / 2) / F.greatest("all", F.lit(1.0)))
         return every.select("step", F.least(part, F.lit(tasks - 1)).cast("int").alias("part"))
 
 
