@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from . import html_text, impact_topk, mixing, pii, prefix_forest, toxicity
+from . import html_text, impact_topk, mixing, pii, prefix_forest, substring_dedup, toxicity
 from .near_dedup import near_duplicates
 from .packing import pack
 from .sharding import shard
@@ -78,4 +78,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_curriculum_mixing": mixing.ORACLE, "op9_impact_topk": impact_topk.ORACLE}
+    return {"op1_substring_dedup": substring_dedup.ORACLE, "op2_curriculum_mixing": mixing.ORACLE, "op9_impact_topk": impact_topk.ORACLE}

@@ -7,19 +7,24 @@ word, stands for all windows. Consecutive windows with equal anchors (in repetit
 there may be many) form a *span*, kept as one index row: (anchor hash, 128-bit digest of the span's whole
 word sequence, doc_id, first window, windows).
 
-Index: a table bucketed and sorted by anchor hash. A batch is appended as one sorted,
-immutable run (a file per bucket); later batches are merge-joined with all runs bucket
-by bucket without moving them; ``compact`` rewrites the runs as one, with the first
-document of each digest only.
+Index: immutable runs, each a table bucketed and sorted by anchor hash, with one row for
+each digest: its first document's first span. A batch becomes a run of its own and is
+merge-joined with the sorted runs of all batches before it, bucket by bucket, without
+moving or sorting them; only what shares an anchor with the batch is read on. Once there
+are ``max_runs`` runs, they are compacted into one before the next batch.
 
 A batch's span whose digest an earlier document has is a repeat with all its windows.
-Where an anchor has several digests, the spans agree in part at most: the windows of
-each digest's first document are made from the texts and compared by 128-bit hashes of
-their whole word sequences (verification).
+Where an anchor has digests of several documents, the spans agree in part at most: the
+windows of each digest's first document are made from the texts (of these documents
+alone) and compared by 128-bit hashes of their whole word sequences (verification).
+
+Counts for a digest, an anchor or a window are partial aggregates, joined back to stored
+tables, so that a passage that a third of all documents hold is many tasks' work.
 
 Defined results: a null text has no words; a text of fewer words than ``window`` keeps
 all; a null doc_id is neither compared nor cut; rows that share a doc_id are repeated
-rows of one document and never cut one another; other columns are not looked at.
+rows of one document and never cut one another, and each is cut by its own text; other
+columns are not looked at.
 """
 
 from __future__ import annotations
@@ -33,13 +38,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from . import common
 from .wordhash import WORD_BASE_2, U, WindowHash, Words, mix, starts_within
 
 WINDOW, ANCHOR = 50, 16
-SPAN = T.StructType([T.StructField(n, t) for n, t in (("h", T.LongType()), ("d1", T.LongType()), ("d2", T.LongType()), ("doc_id", T.LongType()), ("pos", T.IntegerType()), ("cnt", T.IntegerType()))])
+#: Runs that are compacted before the next batch; batches of the registered query.
+MAX_RUNS, BATCHES = 2, 3
+SPAN = T.StructType([T.StructField(n, t) for n, t in (("h", T.LongType()), ("d1", T.LongType()), ("d2", T.LongType()), ("doc_id", T.LongType()), ("tkey", T.LongType()), ("pos", T.IntegerType()), ("cnt", T.IntegerType()))])
 KEPT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
@@ -71,20 +77,21 @@ def spans_of(texts: pa.Array, window: int, anchor: int) -> tuple[np.ndarray, ...
 
 
 def _fingerprint(window: int, anchor: int):
-    schema = pa.schema([("h", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int32()), ("cnt", pa.int32())])
+    schema = pa.schema([("h", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("doc_id", pa.int64()), ("tkey", pa.int64()), ("pos", pa.int32()), ("cnt", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.steps(batches):
             doc, pos, cnt, h, d1, d2 = spans_of(b.column("text"), window, anchor)
-            ids = b.column("doc_id").to_numpy(zero_copy_only=False)[doc]
-            yield pa.RecordBatch.from_arrays([pa.array(common.as_long(h)), pa.array(common.as_long(d1)), pa.array(common.as_long(d2)), pa.array(ids, pa.int64()), pa.array(pos.astype(np.int32)), pa.array(cnt.astype(np.int32))], schema=schema)
+            ids, keys = (b.column(c).to_numpy(zero_copy_only=False)[doc] for c in ("doc_id", "tkey"))
+            hashes = [pa.array(common.as_long(x)) for x in (h, d1, d2)]
+            yield pa.RecordBatch.from_arrays([*hashes, pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(pos.astype(np.int32)), pa.array(cnt.astype(np.int32))], schema=schema)
 
     return run
 
 
 def _windows(window: int):
-    """Rows (doc_id, text, spans) to rows (w1, w2, doc_id, start), one for each window of the spans."""
-    schema = pa.schema([("w1", pa.int64()), ("w2", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32())])
+    """Rows (doc_id, tkey, text, spans) to rows (w1, w2, doc_id, tkey, start), one for each window of the spans."""
+    schema = pa.schema([("w1", pa.int64()), ("w2", pa.int64()), ("doc_id", pa.int64()), ("tkey", pa.int64()), ("start", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.steps(batches):
@@ -95,13 +102,11 @@ def _windows(window: int):
             flat = spans.flatten()
             doc = np.repeat(np.arange(b.num_rows), spans.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
             pos, cnt = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
-            fits = pos + cnt + window - 1 <= words.count[doc]  # false for another text under the same doc_id only
-            doc, pos, cnt = doc[fits], pos[fits], cnt[fits]
             start = np.repeat(pos - np.concatenate([[0], np.cumsum(cnt)[:-1]]).astype(np.int64)[: len(pos)], cnt) + np.arange(cnt.sum())
             doc = np.repeat(doc, cnt)
             at = words.doc_at[doc] + start
-            ids = b.column("doc_id").to_numpy(zero_copy_only=False)[doc]
-            yield pa.RecordBatch.from_arrays([pa.array(common.as_long(one.at(at, window))), pa.array(common.as_long(two.at(at, window))), pa.array(ids, pa.int64()), pa.array(start.astype(np.int32))], schema=schema)
+            ids, keys = (b.column(c).to_numpy(zero_copy_only=False)[doc] for c in ("doc_id", "tkey"))
+            yield pa.RecordBatch.from_arrays([pa.array(common.as_long(one.at(at, window))), pa.array(common.as_long(two.at(at, window))), pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(start.astype(np.int32))], schema=schema)
 
     return run
 
@@ -138,73 +143,105 @@ def _kept(with_text: bool):
     return run
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, tkey): rows that share a doc_id are told apart by a hash of their text."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("tkey", F.xxhash64("text"))
+
+
 class FingerprintIndex:
     """The log-structured index. ``ingest`` takes batches in the order of their doc_ids:
     a batch is judged against itself and every batch before it."""
 
-    def __init__(self, spark: SparkSession, window: int = WINDOW, anchor: int = ANCHOR, buckets: int | None = None, max_runs: int = 4):
+    def __init__(self, spark: SparkSession, window: int = WINDOW, anchor: int = ANCHOR, buckets: int | None = None, max_runs: int = MAX_RUNS):
         if not 0 < anchor <= window:
             raise ValueError("anchor must be from 1 to window")
-        self.spark, self.window, self.anchor, self.max_runs = spark, window, anchor, max_runs
+        self.spark, self.window, self.anchor, self.max_runs = spark, window, anchor, max(1, max_runs)
         self.buckets = buckets or common.shuffle_partitions(spark)
         self.name = f"fingerprints_{uuid.uuid4().hex[:12]}"
-        self.version, self.runs = 0, 0
-
-    @property
-    def table(self) -> str:
-        return f"{self.name}_{self.version}"
-
-    def _append(self, rows: DataFrame, table: str) -> None:
-        (rows.repartition(self.buckets, "h").sortWithinPartitions("h").write.mode("append").format("parquet").option("compression", "zstd").bucketBy(self.buckets, "h").sortBy("h").saveAsTable(table))
-
-    def _first(self) -> DataFrame:
-        """Index rows with the first document of their digest, and whether their anchor has digests of several documents."""
-        digest, anchor = Window.partitionBy("h", "d1", "d2"), Window.partitionBy("h")
-        return self.spark.table(self.table).withColumn("first_doc", F.min("doc_id").over(digest)).withColumn("low", F.min("first_doc").over(anchor)).withColumn("several", (F.min("d1").over(anchor) != F.max("d1").over(anchor)) & (F.col("low") != F.max("first_doc").over(anchor)))
+        self.runs: list[str] = []
+        self._made = 0
+        # a run has one sorted file for each bucket: merge-joins needn't sort it again
+        spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
+
+    def _append(self, spans: DataFrame) -> None:
+        """A run of the first span (and the last document) of each digest."""
+        rows = spans.groupBy("h", "d1", "d2").agg(F.min(F.struct("doc_id", "tkey", "pos", "cnt")).alias("spot"), F.max("last").alias("last"))
+        name = f"{self.name}_{self._made}"
+        rows.repartition(self.buckets, "h").sortWithinPartitions("h").write.format("parquet").option("compression", "zstd").bucketBy(self.buckets, "h").sortBy("h").saveAsTable(name)
+        self.runs.append(name)
+        self._made += 1
+
+    def _spans(self, run: str) -> DataFrame:
+        return self.spark.table(run).select("h", "d1", "d2", "spot.*", "last")
 
     def compact(self) -> None:
-        """Merge all runs into one; of each digest, its first document's first span stays."""
-        old = self.table
-        rows = self.spark.table(old).groupBy("h", "d1", "d2").agg(F.min(F.struct("doc_id", "pos", "cnt")).alias("r")).select("h", "d1", "d2", "r.*")
-        self.version += 1
-        self._append(rows, self.table)
-        self.spark.sql(f"DROP TABLE {old}")
-        self.runs = 1
+        """Merge all runs into one."""
+        old, self.runs = self.runs, []
+        rows = self._spans(old[0])
+        for run in old[1:]:
+            rows = rows.unionByName(self._spans(run))
+        self._append(rows)
+        for run in old:
+            self.spark.sql(f"DROP TABLE {run}")
 
     def drop(self) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+        for run in self.runs:
+            self.spark.sql(f"DROP TABLE IF EXISTS {run}")
+        self.runs = []
 
     def ingest(self, batch: DataFrame, store: DataFrame, first_id: int | None = None) -> DataFrame:
-        """Append ``batch`` (doc_id, text) and return its repeats: (doc_id, spans array of
+        """Append ``batch`` (doc_id, text) and return its repeats: (doc_id, tkey, spans array of
         (pos, cnt) in words). ``store`` gives the texts of all documents so far, the batch
         included; ``first_id`` is the batch's smallest doc_id, when history exists."""
-        batch = batch.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null")
-        self._append(batch.mapInArrow(_fingerprint(self.window, self.anchor), SPAN), self.table)
-        self.runs += 1
-        new = F.lit(True) if first_id is None else F.col("doc_id") >= first_id
-        seen = common.stored(self._first().where((new & (F.col("doc_id") > F.col("first_doc"))) | (F.col("several") & (F.col("doc_id") == F.col("first_doc")))).select("doc_id", "pos", "cnt", (F.col("doc_id") > F.col("first_doc")).alias("whole")), "spans")
-        whole = seen.where("whole").select("doc_id", "pos", (F.col("cnt") + (self.window - 1)).alias("cnt"))
-        part = seen.where("not whole").groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("pos", "cnt"))).alias("spans"))
-        texts = store.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null")
-        n_part = part.count()
-        texts = texts.join(F.broadcast(part) if n_part <= common.BROADCAST_KEYS // 20 else part, "doc_id")
-        windows = common.stored(texts.mapInArrow(_windows(self.window), "w1 long, w2 long, doc_id long, start int"), "windows")
-        first = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc").drop("last_doc")
-        partly = windows.join(first, ["w1", "w2"]).where((F.col("doc_id") > F.col("first_doc")) & new).select("doc_id", F.col("start").alias("pos"), F.lit(self.window).alias("cnt"))
-        found = whole.unionByName(partly).groupBy("doc_id").agg(F.collect_set(F.struct("pos", "cnt")).alias("spans"))
-        if self.runs > self.max_runs:
-            found = common.stored(found, "repeats")
+        if len(self.runs) >= self.max_runs and len(self.runs) > 1:
             self.compact()
-        return found
+        history = list(self.runs)
+        prints = common.stored(_keyed(batch).where("doc_id is not null").mapInArrow(_fingerprint(self.window, self.anchor), SPAN), "prints")
+        self._append(prints.withColumn("last", F.col("doc_id")))
+        own = self.spark.table(self.runs[-1])
+        known = own
+        for run in history:
+            known = known.unionByName(self.spark.table(run).join(own.select("h").hint("merge"), "h", "left_semi"))
+        if history:
+            known = common.stored(known.groupBy("h", "d1", "d2").agg(F.min("spot").alias("spot"), F.max("last").alias("last")), "known")
+        several = (F.min(F.struct("d1", "d2")) < F.max(F.struct("d1", "d2"))) & (F.min("spot.doc_id") < F.max("spot.doc_id"))
+        contested = common.stored(known.groupBy("h").agg(several.alias("part")).where("part"), "contested")
+        repeated = F.col("last") > F.col("spot.doc_id")
+        firsts = known.join(contested, "h", "left").withColumn("part", F.coalesce("part", F.lit(False))).where(F.col("part") | repeated)
+        firsts = common.stored(firsts.select("h", "d1", "d2", "spot", "part"), "firsts")
+        first = firsts.select("h", "d1", "d2", F.col("spot.doc_id").alias("first_doc"), "part")
+        seen = prints.join(first, ["h", "d1", "d2"]).where((F.col("doc_id") > F.col("first_doc")) | F.col("part"))
+        seen = common.stored(seen.select("doc_id", "tkey", "pos", "cnt", (F.col("doc_id") > F.col("first_doc")).alias("whole")), "spans")
+        whole = seen.where("whole").select("doc_id", "tkey", "pos", (F.col("cnt") + (self.window - 1)).alias("cnt"))
+        part = seen.where("not whole").drop("whole")
+        if first_id is not None:
+            part = part.unionByName(firsts.where(F.col("part") & (F.col("spot.doc_id") < first_id)).select("spot.*"))
+        part = common.stored(part.groupBy("doc_id", "tkey").agg(F.sort_array(F.collect_set(F.struct("pos", "cnt"))).alias("spans")), "parts")
+        windows = common.stored(self._texts(store, part).mapInArrow(_windows(self.window), "w1 long, w2 long, doc_id long, tkey long, start int"), "windows")
+        earliest = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc").drop("last_doc")
+        earliest = common.stored(earliest, "earliest")
+        new = F.lit(True) if first_id is None else F.col("doc_id") >= first_id
+        partly = windows.where(new).join(earliest, ["w1", "w2"]).where("doc_id > first_doc").select("doc_id", "tkey", F.col("start").alias("pos"), F.lit(self.window).alias("cnt"))
+        return whole.unionByName(partly).groupBy("doc_id", "tkey").agg(F.collect_set(F.struct("pos", "cnt")).alias("spans"))
+
+    def _texts(self, store: DataFrame, part: DataFrame) -> DataFrame:
+        """The rows of ``store`` that ``part`` names, with its spans."""
+        n, spans = part.agg(F.count(F.lit(1)), F.sum(F.size("spans"))).first()
+        side = F.broadcast(part) if 48 * n + 8 * (spans or 0) <= common.BROADCAST_BYTES else part
+        return _keyed(store).where("doc_id is not null").join(side, ["doc_id", "tkey"])
 
 
 def remove(docs: DataFrame, repeats: DataFrame, with_text: bool = False) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256[, kept]) of every row of ``docs``."""
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
-    return docs.join(repeats, "doc_id", "left").mapInArrow(_kept(with_text), KEPT + (", kept string" if with_text else ""))
+    docs = _keyed(docs)
+    n, spans = repeats.agg(F.count(F.lit(1)), F.sum(F.size("spans"))).first()
+    side = F.broadcast(repeats) if 48 * n + 8 * (spans or 0) <= common.BROADCAST_BYTES else repeats
+    cut_up = docs.where("doc_id is not null").join(side, ["doc_id", "tkey"], "left")
+    alone = docs.where("doc_id is null").withColumn("spans", F.lit(None).cast(repeats.schema["spans"].dataType))
+    return cut_up.unionByName(alone).mapInArrow(_kept(with_text), KEPT + (", kept string" if with_text else ""))
 
 
-def dedup_substrings(docs: DataFrame, batches: int = 2, window: int = WINDOW, anchor: int = ANCHOR, with_text: bool = False) -> DataFrame:
+def dedup_substrings(docs: DataFrame, batches: int = BATCHES, window: int = WINDOW, anchor: int = ANCHOR, with_text: bool = False) -> DataFrame:
     """All of ``docs`` through an index, in ``batches`` batches of ascending doc_id."""
     spark = docs.sparkSession
     index = FingerprintIndex(spark, window, anchor)
@@ -215,8 +252,23 @@ def dedup_substrings(docs: DataFrame, batches: int = 2, window: int = WINDOW, an
         batch = docs if a is None else docs.where(F.col("doc_id") >= a)
         batch = batch if b is None else batch.where(F.col("doc_id") < b)
         store = docs if b is None else docs.where(F.col("doc_id") < b)
-        one = index.ingest(batch, store, a)
-        one = common.stored(one, "repeats")
+        one = common.stored(index.ingest(batch, store, a), "repeats")
         found = one if found is None else found.unionByName(one)
     index.drop()
     return remove(docs, found, with_text)
+
+
+#: For small tables: every window as text.
+ORACLE = r"""
+WITH w AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+win AS (
+  SELECT rid, doc_id, i, md5(array_to_string(words[i:i + 49], ' ')) AS h
+  FROM (SELECT *, unnest(range(1, len(words) - 48)) AS i FROM w WHERE len(words) >= 50 AND doc_id IS NOT NULL)),
+firsts AS (SELECT h, min(doc_id) AS first_doc FROM win GROUP BY h HAVING min(doc_id) < max(doc_id)),
+cut AS (SELECT DISTINCT rid, unnest(range(i, i + 50)) AS i FROM win JOIN firsts USING (h) WHERE doc_id > first_doc),
+each AS (SELECT rid, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM w),
+kept AS (SELECT rid, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS text FROM each ANTI JOIN cut USING (rid, i) GROUP BY rid)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM w LEFT JOIN kept k USING (rid)
+"""
