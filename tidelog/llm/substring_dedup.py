@@ -7,8 +7,9 @@ word, stands for all windows. Consecutive windows with equal anchors (in repetit
 there may be many) form a *span*, kept as one index row: (anchor hash, 128-bit digest of the span's whole
 word sequence, doc_id, first window, windows).
 
-Index: immutable runs, each a table bucketed and sorted by anchor hash, with one row for
-each digest: its first document's first span. A batch becomes a run of its own and is
+Index: immutable runs, each a table bucketed and sorted by anchor hash. What a task sees
+of a digest within about 2 MB of text goes into the run as one row, its first document's
+first span, so that a passage of very many documents is few rows. A batch becomes a run of its own and is
 merge-joined with the sorted runs of all batches before it, bucket by bucket, without
 moving or sorting them; only what shares an anchor with the batch is read on. Once there
 are ``max_runs`` runs, they are compacted into one before the next batch.
@@ -18,8 +19,8 @@ Where an anchor has digests of several documents, the spans agree in part at mos
 windows of each digest's first document are made from the texts (of these documents
 alone) and compared by 128-bit hashes of their whole word sequences (verification).
 
-Counts for a digest, an anchor or a window are partial aggregates, joined back to stored
-tables, so that a passage that a third of all documents hold is many tasks' work.
+First documents of digests and windows are joined back to stored tables, so that a
+passage that a third of all documents hold is many tasks' work.
 
 Defined results: a null text has no words; a text of fewer words than ``window`` keeps
 all; a null doc_id is neither compared nor cut; rows that share a doc_id are repeated
@@ -38,6 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from . import common
 from .wordhash import WORD_BASE_2, U, WindowHash, Words, mix, starts_within
@@ -45,7 +47,9 @@ from .wordhash import WORD_BASE_2, U, WindowHash, Words, mix, starts_within
 WINDOW, ANCHOR = 50, 16
 #: Runs that are compacted before the next batch; batches of the registered query.
 MAX_RUNS, BATCHES = 2, 3
-SPAN = T.StructType([T.StructField(n, t) for n, t in (("h", T.LongType()), ("d1", T.LongType()), ("d2", T.LongType()), ("doc_id", T.LongType()), ("tkey", T.LongType()), ("pos", T.IntegerType()), ("cnt", T.IntegerType()))])
+#: Bytes up to which a side is broadcast, as counted.
+BROADCAST_BYTES = 1 << 20
+SPAN = T.StructType([T.StructField(n, t) for n, t in (("h", T.LongType()), ("d1", T.LongType()), ("d2", T.LongType()), ("doc_id", T.LongType()), ("tkey", T.LongType()), ("pos", T.IntegerType()), ("cnt", T.IntegerType()), ("last", T.LongType()))])
 KEPT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
@@ -76,15 +80,30 @@ def spans_of(texts: pa.Array, window: int, anchor: int) -> tuple[np.ndarray, ...
     return doc[first], begin - words.doc_at[doc[first]], cnt, least[first], d1, d2
 
 
+def _last_of(h: np.ndarray, d1: np.ndarray, d2: np.ndarray, ids: np.ndarray, pos: np.ndarray) -> pa.Array:
+    """For the first row of each digest, by document and place, the last document that has it; null for the others."""
+    last, first = np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+    if len(h):
+        order = np.lexsort((pos, ids, d2, d1, h))
+        a, b, c = h[order], d1[order], d2[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])
+        at = np.flatnonzero(new)
+        first[order[at]] = True
+        last[order[at]] = ids[order[np.append(at[1:], len(h)) - 1]]
+    return pa.array(last, mask=~first)
+
+
 def _fingerprint(window: int, anchor: int):
-    schema = pa.schema([("h", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("doc_id", pa.int64()), ("tkey", pa.int64()), ("pos", pa.int32()), ("cnt", pa.int32())])
+    schema = pa.schema([("h", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("doc_id", pa.int64()), ("tkey", pa.int64()), ("pos", pa.int32()), ("cnt", pa.int32()), ("last", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.steps(batches):
             doc, pos, cnt, h, d1, d2 = spans_of(b.column("text"), window, anchor)
             ids, keys = (b.column(c).to_numpy(zero_copy_only=False)[doc] for c in ("doc_id", "tkey"))
             hashes = [pa.array(common.as_long(x)) for x in (h, d1, d2)]
-            yield pa.RecordBatch.from_arrays([*hashes, pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(pos.astype(np.int32)), pa.array(cnt.astype(np.int32))], schema=schema)
+            last = _last_of(h, d1, d2, ids, pos)
+            yield pa.RecordBatch.from_arrays([*hashes, pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(pos.astype(np.int32)), pa.array(cnt.astype(np.int32)), last], schema=schema)
 
     return run
 
@@ -163,24 +182,27 @@ class FingerprintIndex:
         # a run has one sorted file for each bucket: merge-joins needn't sort it again
         spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
 
-    def _append(self, spans: DataFrame) -> None:
-        """A run of the first span (and the last document) of each digest."""
-        rows = spans.groupBy("h", "d1", "d2").agg(F.min(F.struct("doc_id", "tkey", "pos", "cnt")).alias("spot"), F.max("last").alias("last"))
-        name = f"{self.name}_{self._made}"
-        rows.repartition(self.buckets, "h").sortWithinPartitions("h").write.format("parquet").option("compression", "zstd").bucketBy(self.buckets, "h").sortBy("h").saveAsTable(name)
+    def _append(self, rows: DataFrame) -> None:
+        """A run of ``rows`` (h, d1, d2, spot, last)."""
+        name, order = f"{self.name}_{self._made}", ("h", "d1", "d2")
+        rows.repartition(self.buckets, "h").sortWithinPartitions(*order).write.format("parquet").option("compression", "zstd").bucketBy(self.buckets, "h").sortBy(*order).saveAsTable(name)
         self.runs.append(name)
         self._made += 1
 
-    def _spans(self, run: str) -> DataFrame:
-        return self.spark.table(run).select("h", "d1", "d2", "spot.*", "last")
+    def _digests(self, runs: list[DataFrame]) -> DataFrame:
+        """Of each digest of ``runs`` the first document's first span, and the last document."""
+        rows = runs[0]
+        for run in runs[1:]:
+            rows = rows.unionByName(run)
+        if len(runs) > 1:
+            rows = rows.repartition(self.buckets, "h")
+        return rows.groupBy("h", "d1", "d2").agg(F.min("spot").alias("spot"), F.max("last").alias("last"))
 
     def compact(self) -> None:
-        """Merge all runs into one."""
+        """Merge all runs into one, with one row for each digest."""
         old, self.runs = self.runs, []
-        rows = self._spans(old[0])
-        for run in old[1:]:
-            rows = rows.unionByName(self._spans(run))
-        self._append(rows)
+        # stored first: a repartition right above an aggregate by the same key would be left out, and a bucket get several files
+        self._append(common.stored(self._digests([self.spark.table(run) for run in old]), "compacted"))
         for run in old:
             self.spark.sql(f"DROP TABLE {run}")
 
@@ -197,20 +219,16 @@ class FingerprintIndex:
             self.compact()
         history = list(self.runs)
         prints = common.stored(_keyed(batch).where("doc_id is not null").mapInArrow(_fingerprint(self.window, self.anchor), SPAN), "prints")
-        self._append(prints.withColumn("last", F.col("doc_id")))
+        self._append(prints.where("last is not null").select("h", "d1", "d2", F.struct("doc_id", "tkey", "pos", "cnt").alias("spot"), "last"))
         own = self.spark.table(self.runs[-1])
-        known = own
-        for run in history:
-            known = known.unionByName(self.spark.table(run).join(own.select("h").hint("merge"), "h", "left_semi"))
-        if history:
-            known = common.stored(known.groupBy("h", "d1", "d2").agg(F.min("spot").alias("spot"), F.max("last").alias("last")), "known")
-        several = (F.min(F.struct("d1", "d2")) < F.max(F.struct("d1", "d2"))) & (F.min("spot.doc_id") < F.max("spot.doc_id"))
-        contested = common.stored(known.groupBy("h").agg(several.alias("part")).where("part"), "contested")
-        repeated = F.col("last") > F.col("spot.doc_id")
-        firsts = known.join(contested, "h", "left").withColumn("part", F.coalesce("part", F.lit(False))).where(F.col("part") | repeated)
+        known = self._digests([own, *[self.spark.table(run).join(own.select("h").hint("merge"), "h", "left_semi") for run in history]])
+        over = lambda f, c: f(c).over(Window.partitionBy("h"))
+        several = (over(F.min, F.struct("d1", "d2")) < over(F.max, F.struct("d1", "d2"))) & (over(F.min, F.col("spot.doc_id")) < over(F.max, F.col("spot.doc_id")))
+        firsts = known.withColumn("part", several).where(F.col("part") | (F.col("last") > F.col("spot.doc_id")))
         firsts = common.stored(firsts.select("h", "d1", "d2", "spot", "part"), "firsts")
         first = firsts.select("h", "d1", "d2", F.col("spot.doc_id").alias("first_doc"), "part")
-        seen = prints.join(first, ["h", "d1", "d2"]).where((F.col("doc_id") > F.col("first_doc")) | F.col("part"))
+        side = F.broadcast(first) if 40 * first.count() <= BROADCAST_BYTES else first
+        seen = prints.join(side, ["h", "d1", "d2"]).where((F.col("doc_id") > F.col("first_doc")) | F.col("part"))
         seen = common.stored(seen.select("doc_id", "tkey", "pos", "cnt", (F.col("doc_id") > F.col("first_doc")).alias("whole")), "spans")
         whole = seen.where("whole").select("doc_id", "tkey", "pos", (F.col("cnt") + (self.window - 1)).alias("cnt"))
         part = seen.where("not whole").drop("whole")
@@ -227,7 +245,7 @@ class FingerprintIndex:
     def _texts(self, store: DataFrame, part: DataFrame) -> DataFrame:
         """The rows of ``store`` that ``part`` names, with its spans."""
         n, spans = part.agg(F.count(F.lit(1)), F.sum(F.size("spans"))).first()
-        side = F.broadcast(part) if 48 * n + 8 * (spans or 0) <= common.BROADCAST_BYTES else part
+        side = F.broadcast(part) if 48 * n + 8 * (spans or 0) <= BROADCAST_BYTES else part
         return _keyed(store).where("doc_id is not null").join(side, ["doc_id", "tkey"])
 
 
@@ -235,7 +253,7 @@ def remove(docs: DataFrame, repeats: DataFrame, with_text: bool = False) -> Data
     """(doc_id, n_words, n_removed, kept_sha256[, kept]) of every row of ``docs``."""
     docs = _keyed(docs)
     n, spans = repeats.agg(F.count(F.lit(1)), F.sum(F.size("spans"))).first()
-    side = F.broadcast(repeats) if 48 * n + 8 * (spans or 0) <= common.BROADCAST_BYTES else repeats
+    side = F.broadcast(repeats) if 48 * n + 8 * (spans or 0) <= BROADCAST_BYTES else repeats
     cut_up = docs.where("doc_id is not null").join(side, ["doc_id", "tkey"], "left")
     alone = docs.where("doc_id is null").withColumn("spans", F.lit(None).cast(repeats.schema["spans"].dataType))
     return cut_up.unionByName(alone).mapInArrow(_kept(with_text), KEPT + (", kept string" if with_text else ""))
