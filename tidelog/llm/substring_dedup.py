@@ -47,8 +47,6 @@ from .wordhash import WORD_BASE_2, U, WindowHash, Words, mix, starts_within
 WINDOW, ANCHOR = 50, 16
 #: Runs that are compacted before the next batch; batches of the registered query.
 MAX_RUNS, BATCHES = 2, 3
-#: Bytes up to which a side is broadcast, as counted.
-BROADCAST_BYTES = 1 << 20
 SPAN = T.StructType([T.StructField(n, t) for n, t in (("h", T.LongType()), ("d1", T.LongType()), ("d2", T.LongType()), ("doc_id", T.LongType()), ("tkey", T.LongType()), ("pos", T.IntegerType()), ("cnt", T.IntegerType()), ("last", T.LongType()))])
 KEPT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
@@ -164,6 +162,8 @@ def _kept(with_text: bool):
 
 def _keyed(docs: DataFrame) -> DataFrame:
     """(doc_id, text, tkey): rows that share a doc_id are told apart by a hash of their text."""
+    if docs.columns == ["doc_id", "text", "tkey"]:
+        return docs
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("tkey", F.xxhash64("text"))
 
 
@@ -214,7 +214,7 @@ class FingerprintIndex:
     def ingest(self, batch: DataFrame, store: DataFrame, first_id: int | None = None) -> DataFrame:
         """Append ``batch`` (doc_id, text) and return its repeats: (doc_id, tkey, spans array of
         (pos, cnt) in words). ``store`` gives the texts of all documents so far, the batch
-        included; ``first_id`` is the batch's smallest doc_id, when history exists."""
+        included (best from a ``TextStore``); ``first_id`` is the batch's smallest doc_id, when history exists."""
         if len(self.runs) >= self.max_runs and len(self.runs) > 1:
             self.compact()
         history = list(self.runs)
@@ -227,8 +227,7 @@ class FingerprintIndex:
         firsts = known.withColumn("part", several).where(F.col("part") | (F.col("last") > F.col("spot.doc_id")))
         firsts = common.stored(firsts.select("h", "d1", "d2", "spot", "part"), "firsts")
         first = firsts.select("h", "d1", "d2", F.col("spot.doc_id").alias("first_doc"), "part")
-        side = F.broadcast(first) if 40 * first.count() <= BROADCAST_BYTES else first
-        seen = prints.join(side, ["h", "d1", "d2"]).where((F.col("doc_id") > F.col("first_doc")) | F.col("part"))
+        seen = prints.join(first, ["h", "d1", "d2"]).where((F.col("doc_id") > F.col("first_doc")) | F.col("part"))
         seen = common.stored(seen.select("doc_id", "tkey", "pos", "cnt", (F.col("doc_id") > F.col("first_doc")).alias("whole")), "spans")
         whole = seen.where("whole").select("doc_id", "tkey", "pos", (F.col("cnt") + (self.window - 1)).alias("cnt"))
         part = seen.where("not whole").drop("whole")
@@ -244,36 +243,45 @@ class FingerprintIndex:
 
     def _texts(self, store: DataFrame, part: DataFrame) -> DataFrame:
         """The rows of ``store`` that ``part`` names, with its spans."""
-        n, spans = part.agg(F.count(F.lit(1)), F.sum(F.size("spans"))).first()
-        side = F.broadcast(part) if 48 * n + 8 * (spans or 0) <= BROADCAST_BYTES else part
-        return _keyed(store).where("doc_id is not null").join(side, ["doc_id", "tkey"])
+        return _keyed(store).where("doc_id is not null").join(part, ["doc_id", "tkey"])
 
 
 def remove(docs: DataFrame, repeats: DataFrame, with_text: bool = False) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256[, kept]) of every row of ``docs``."""
-    docs = _keyed(docs)
-    n, spans = repeats.agg(F.count(F.lit(1)), F.sum(F.size("spans"))).first()
-    side = F.broadcast(repeats) if 48 * n + 8 * (spans or 0) <= BROADCAST_BYTES else repeats
-    cut_up = docs.where("doc_id is not null").join(side, ["doc_id", "tkey"], "left")
-    alone = docs.where("doc_id is null").withColumn("spans", F.lit(None).cast(repeats.schema["spans"].dataType))
-    return cut_up.unionByName(alone).mapInArrow(_kept(with_text), KEPT + (", kept string" if with_text else ""))
+    return _keyed(docs).join(repeats, ["doc_id", "tkey"], "left").mapInArrow(_kept(with_text), KEPT + (", kept string" if with_text else ""))
+
+
+class TextStore:
+    """The texts, moved once: a table bucketed and sorted by (doc_id, tkey), to which spans are
+    joined without moving texts again. Rows without doc_id aren't in it."""
+
+    def __init__(self, docs: DataFrame):
+        self.spark, self.name, keys = docs.sparkSession, f"texts_{uuid.uuid4().hex[:12]}", ("doc_id", "tkey")
+        n = common.shuffle_partitions(self.spark)
+        rows = _keyed(docs).where("doc_id is not null").repartition(n, *keys).sortWithinPartitions(*keys)
+        rows.write.format("parquet").option("compression", "zstd").bucketBy(n, *keys).sortBy(*keys).saveAsTable(self.name)
+
+    def read(self) -> DataFrame:
+        return self.spark.table(self.name)
 
 
 def dedup_substrings(docs: DataFrame, batches: int = BATCHES, window: int = WINDOW, anchor: int = ANCHOR, with_text: bool = False) -> DataFrame:
     """All of ``docs`` through an index, in ``batches`` batches of ascending doc_id."""
     spark = docs.sparkSession
     index = FingerprintIndex(spark, window, anchor)
+    texts = TextStore(docs)
     low = docs.select(F.percentile_approx(F.col("doc_id").cast("long"), [i / batches for i in range(1, batches)], 1000).alias("q")).first()[0] if batches > 1 else []
     edges = [None, *sorted({int(x) + 1 for x in low or []}), None]
     found = None
     for a, b in zip(edges, edges[1:]):
         batch = docs if a is None else docs.where(F.col("doc_id") >= a)
         batch = batch if b is None else batch.where(F.col("doc_id") < b)
-        store = docs if b is None else docs.where(F.col("doc_id") < b)
+        store = texts.read() if b is None else texts.read().where(F.col("doc_id") < b)
         one = common.stored(index.ingest(batch, store, a), "repeats")
         found = one if found is None else found.unionByName(one)
     index.drop()
-    return remove(docs, found, with_text)
+    kept = remove(texts.read(), found, with_text)
+    return kept.unionByName(remove(docs.where("doc_id is null"), found.limit(0), with_text))
 
 
 #: For small tables: every window as text.
