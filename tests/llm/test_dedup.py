@@ -95,7 +95,7 @@ def classes(rows, similarity=0.8, k=5):
     sets = {}
     for i, t in rows:
         w = (t or "").encode().split()
-        sets[i] = {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
+        sets[i] = Counter(tuple(w[j : j + k]) for j in range(len(w) - k + 1)) if len(w) >= k else Counter([tuple(w)] if w else [])
     of = {i: i for i in sets}
 
     def find(x):
@@ -106,7 +106,7 @@ def classes(rows, similarity=0.8, k=5):
     ids = sorted(sets)
     for a in ids:
         for b in ids:
-            if a < b and sets[a] and sets[b] and len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]):
+            if a < b and sets[a] and sets[b] and (sets[a] & sets[b]).total() >= similarity * (sets[a] | sets[b]).total():
                 x, y = find(a), find(b)
                 of[max(x, y)] = min(x, y)
     return {i: find(i) for i in ids}
@@ -129,6 +129,23 @@ def test_a_large_bucket_takes_several_rounds(spark):
     assert out == classes(rows)
 
 
+def test_weights_are_counts(spark):
+    line, other = words(40, 1), words(40, 2)
+    rows = [(1, " ".join(line * 9 + other)), (2, " ".join(line * 2 + other)), (3, " ".join(line * 8 + other)), (4, "a " * 3000), (5, "a " * 2900), (6, "a " * 1000)]
+    out = {r.doc_id: r.class_id for r in nd.near_duplicates(docs(spark, rows)).collect()}
+    assert out == classes(rows) == {1: 1, 2: 2, 3: 1, 4: 4, 5: 4, 6: 6}
+    plain = {r.doc_id: r.class_id for r in nd.near_duplicates(docs(spark, rows), weighted=False).collect()}
+    assert plain[2] == 1 and plain[6] == 4
+
+
+def test_of_rows_that_share_a_doc_id_one_counts(spark):
+    p, q = " ".join(words(80, 1)), " ".join(words(80, 2))
+    out = {r.doc_id: r.class_id for r in nd.near_duplicates(docs(spark, [(1, p), (2, p), (2, q), (3, q)])).collect()}
+    assert out in ({1: 1, 2: 1, 3: 3}, {1: 1, 2: 2, 3: 2})
+    again = {r.doc_id: r.class_id for r in nd.near_duplicates(docs(spark, [(2, q), (3, q), (2, p), (1, p)])).collect()}
+    assert again == out
+
+
 def test_near_duplicate_edge_cases(spark):
     assert nd.near_duplicates(docs(spark, [])).collect() == []
     rows = [(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (3, ""), (4, None), (5, "")]
@@ -145,7 +162,7 @@ def test_dart_signatures_estimate_weighted_jaccard():
     sig = nd.dart_signatures(np.concatenate([e, e[keep]]), np.concatenate([w, v[keep]]), np.array([0, 300, 300 + keep.sum()]), 2000)
     assert abs((sig[0] == sig[1]).mean() - np.minimum(w, v).sum() / np.maximum(w, v).sum()) < 0.05
     one = nd.dart_signatures(e[:1], np.ones(1), np.array([0, 1, 1]), 280)
-    assert (one[1] == np.uint64(2**64 - 1)).all() and (one[0] != np.uint64(2**64 - 1)).mean() > 0.99
+    assert (one[1] == np.uint64(2**64 - 1)).all() and (one[0] != np.uint64(2**64 - 1)).all()
 
 
 def test_short_documents_cost_bounded_memory():

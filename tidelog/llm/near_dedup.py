@@ -5,11 +5,14 @@ each cell holds a Poisson(1) number of darts, all made from hashes of (element,
 so every document sees the same darts. A dart counts if its weight coordinate lies
 below the element's weight. It falls on one of k coordinates, which keeps its earliest
 dart (least rank). About k ln k + 2k darts a document fill all coordinates, however many
-elements it has, so a signature costs O(elements + k log k); a document with an empty
-coordinate looks at twice as many ranks. Two coordinates agree with a probability of
-the weighted Jaccard similarity. Bands of r coordinates are the keys of candidates.
+elements it has, so a signature costs O(weight + k log k); a document with an empty
+coordinate looks at twice as many ranks, until it has none. Two coordinates agree with a probability of
+the weighted Jaccard similarity (sum of least by sum of largest weights). Bands of r
+coordinates are the keys of candidates. Weights are how often a shingle occurs, so the
+similarity is that of the sets of (shingle, 1st, 2nd, ... occurrence), which is what
+sizes, parity bitmaps and the exact comparison use. ``weighted=False``: all weights are 1.
 
-Documents with equal shingle sets collapse first. Candidate pairs within a band bucket
+Documents with equal shingles collapse first. Candidate pairs within a band bucket
 are never all emitted: in a round, each bucket offers a few representatives, from its
 smallest components, one for each salt; the others of different components are compared
 with them by the exact similarity of the sets, links contract components, and the
@@ -22,8 +25,8 @@ every candidate pair is compared, is excluded by a bound, or is connected alread
 
 Defined results: a document without words (null, empty, blank) is a class of its own; a
 text of fewer than ``k_words`` words has one shingle, of all its words; rows that share a
-doc_id are one document (its first row by text order counts); a null doc_id is left out
-of the classes and returned with a null class.
+doc_id are one document (of different texts the one with the least sums of shingle hashes
+counts); a null doc_id is left out of the classes and returned with a null class.
 """
 
 from __future__ import annotations
@@ -49,6 +52,10 @@ BITMAP = 8
 #: Cells of darts that are made at once.
 CELLS = 1 << 18
 
+#: Two sums of salted hashes tell sets apart.
+SALT_1, SALT_2 = U(0x243F6A8885A308D3), U(0x13198A2E03707344)
+#: Ranks fit 16 bits. A weight of 1 has about 65,000 darts by then: an empty coordinate is out of the question.
+MAX_RANK = 1 << 16
 _LOW = U(0xFFFFFFFF)
 #: Poisson(1): below CDF[n], as a share of 2**64, there are at most n darts.
 _CDF = np.array([min(2**64 - 1, int(sum(math.exp(-1) / math.factorial(j) for j in range(n + 1)) * 2**64)) for n in range(18)], dtype=U)
@@ -87,13 +94,13 @@ def dart_signatures(elements: np.ndarray, weights: np.ndarray, offsets: np.ndarr
             dart = mix(dart)
             spot = mix(dart ^ U(0xA5A5A5A5A5A5A5A5))
             at = (dart >> U(32)) * U(k) >> U(32)
-            # value: rank with 20 bits below the point, then 32 bits of identity
-            value = (np.repeat(rank, darts).astype(U) << U(52)) | ((spot >> U(44)) << U(32)) | (dart & _LOW)
+            # value: 16 bits of rank, 16 bits below the point, then 32 bits of identity
+            value = (np.repeat(rank, darts).astype(U) << U(48)) | ((spot >> U(48)) << U(32)) | (dart & _LOW)
             hit = (spot & _LOW).astype(np.float64) / 2**32 < np.repeat(cell_left, darts)
             np.minimum.at(sig.reshape(-1), np.repeat(cell_doc, darts)[hit] * k + at[hit].astype(np.int64), value[hit])
         begin[todo] = ranks[todo]
         ranks[todo] *= 2
-        todo = todo[(sig[todo] == U(2**64 - 1)).any(axis=1) & (ranks[todo] < 2048)]
+        todo = todo[(sig[todo] == U(2**64 - 1)).any(axis=1) & (ranks[todo] <= MAX_RANK)]
     return sig
 
 
@@ -107,15 +114,27 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out
 
 
+def occurrences(value: np.ndarray, times: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of (element, 1st, 2nd, ... occurrence) and their len+1 offsets."""
+    ends = np.concatenate([[0], np.cumsum(times)]).astype(np.int64)
+    nth = np.arange(ends[-1]) - np.repeat(ends[:-1], times)
+    out = np.repeat(value, times)
+    more = nth > 0
+    out[more] = mix(out[more] ^ mix(nth[more].astype(U) * U(0x9E3779B97F4A7C15)))
+    return out, ends[off]
+
+
 def _signatures(k_words: int, bands: int, rows: int, weighted: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.steps(batches):
             value, times, off = shingle_sets(b.column("text"), k_words)
+            times = times if weighted else np.ones(len(value), np.int64)
+            keep = np.flatnonzero(np.diff(off) > 0)
+            keys = band_keys(dart_signatures(value, times.astype(float), off, bands * rows), bands, rows)[keep]
+            value, off = occurrences(value, times, off)
             n = np.diff(off)
-            keep = np.flatnonzero(n > 0)
-            keys = band_keys(dart_signatures(value, times.astype(float) if weighted else np.ones(len(value)), off, bands * rows), bands, rows)[keep]
             sums = []
-            for salt in (U(0x243F6A8885A308D3), U(0x13198A2E03707344)):
+            for salt in (SALT_1, SALT_2):
                 run_sum = np.zeros(len(value) + 1, U)
                 np.cumsum(mix(value ^ salt), out=run_sum[1:])
                 sums.append(run_sum[off[1:]] - run_sum[off[:-1]])
@@ -130,11 +149,14 @@ def _signatures(k_words: int, bands: int, rows: int, weighted: bool):
     return run
 
 
-def _sets(k_words: int):
+def _sets(k_words: int, weighted: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.steps(batches):
-            value, _, off = shingle_sets(b.column("text"), k_words)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array([value[a:z].tobytes() for a, z in zip(off, off[1:])], pa.binary())], names=["doc_id", "elements"])
+            value, times, off = shingle_sets(b.column("text"), k_words)
+            value, off = occurrences(value, times if weighted else np.ones(len(value), np.int64), off)
+            sums = np.zeros(len(value) + 1, U)
+            np.cumsum(mix(value ^ SALT_1), out=sums[1:])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(common.as_long(sums[off[1:]] - sums[off[:-1]])), pa.array([value[a:z].tobytes() for a, z in zip(off, off[1:])], pa.binary())], names=["doc_id", "s1", "elements"])
 
     return run
 
@@ -200,16 +222,18 @@ def merged(comp: DataFrame | None, links: DataFrame, rows: int) -> DataFrame:
     return common.stored(nodes.join(far, "comp", "left").select("node", F.coalesce("far", "comp").alias("comp")), "components", rows)
 
 
-def near_duplicates(docs: DataFrame, k_words: int = K_WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, weighted: bool = False, offers: int = OFFERS, later_offers: int = LATER_OFFERS) -> DataFrame:
+def near_duplicates(docs: DataFrame, k_words: int = K_WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, weighted: bool = True, offers: int = OFFERS, later_offers: int = LATER_OFFERS) -> DataFrame:
     """(doc_id, class_id): class_id is the smallest doc_id that links of at least
-    ``similarity`` connect with the document. ``weighted``: signatures by shingle counts."""
-    ids = docs.select(F.col("doc_id").cast("long"), "text")
+    ``similarity`` connect with the document."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = common.stored(ids.where("doc_id is not null").mapInArrow(_signatures(k_words, bands, rows, weighted), "doc_id long, s1 long, s2 long, n long, keys array<long>, bits array<long>"), "signatures")
-    n_docs = signed.count()
-    rep = signed.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"))
-    members = signed.select("doc_id", "s1", "s2", "n").join(rep, ["s1", "s2", "n"]).groupBy("doc_id").agg(F.min("rep").alias("rep"))
-    members = common.stored(members, "members", n_docs)
-    own = signed.join(members.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi").withColumnRenamed("doc_id", "rep")
+    one = signed.groupBy("doc_id").agg(F.min(F.struct("s1", "s2", "n")).alias("s"), F.count(F.lit(1)).alias("rows")).select("doc_id", "s.*", "rows")
+    one = common.stored(one, "documents")
+    n_docs = one.count()
+    rep = common.stored(one.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep")), "sets")
+    # both sides are stored, so that a set that a third of all documents share can be many tasks
+    members = common.stored(one.select("doc_id", "s1", "s2", "n").join(rep, ["s1", "s2", "n"]).select("doc_id", "rep"), "members", n_docs)
+    own = signed.join(rep.withColumnRenamed("rep", "doc_id"), ["doc_id", "s1", "s2", "n"], "left_semi").withColumnRenamed("doc_id", "rep")
     own = common.stored(own, "representatives", n_docs)
     keyed = own.select("rep", "n", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("key")
@@ -218,8 +242,10 @@ def near_duplicates(docs: DataFrame, k_words: int = K_WORDS, similarity: float =
     comp, size = None, bucket.count()
     involved = bucket.select(F.col("rep").alias("doc_id")).distinct()
     sets = common.keep_keys(ids.where("doc_id is not null"), involved, "doc_id", size)
-    sets = sets.mapInArrow(_sets(k_words), "doc_id long, elements binary").groupBy("doc_id").agg(F.first("elements").alias("elements"))
-    sets = common.stored(sets, "elements", size)
+    sets = sets.mapInArrow(_sets(k_words, weighted), "doc_id long, s1 long, elements binary")
+    if not one.where("rows > 1").isEmpty():
+        sets = sets.join(rep.select(F.col("rep").alias("doc_id"), "s1"), ["doc_id", "s1"], "left_semi").groupBy("doc_id").agg(F.first("elements").alias("elements"))
+    sets = common.stored(sets.select("doc_id", "elements"), "elements", size)
     bits = [f"b{i}" for i in range(BITMAP)]
     while True:
         at = bucket.withColumn("comp", F.col("rep")) if comp is None else bucket.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
@@ -248,3 +274,23 @@ def near_duplicates(docs: DataFrame, k_words: int = K_WORDS, similarity: float =
     else:
         classes = members.select("doc_id", F.col("rep").alias("class_id"))
     return ids.select("doc_id").join(classes, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+
+
+#: For small tables: all pairs that share a shingle; doc_ids are unique there.
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents WHERE doc_id IS NOT NULL),
+shingled AS (
+  SELECT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+    ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) END) AS s FROM w),
+counted AS (SELECT doc_id, md5(s) AS s, count(*) AS n FROM shingled GROUP BY ALL),
+size AS (SELECT doc_id, sum(n) AS n FROM counted GROUP BY doc_id),
+pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, sum(least(a.n, b.n)) AS common
+  FROM counted a JOIN counted b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM pairs JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE common >= 0.8 * (x.n + y.n - common) - 1e-9),
+edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a)
+SELECT d.doc_id, least(d.doc_id, coalesce(min(r.b), d.doc_id)) AS class_id FROM documents d LEFT JOIN reach r ON r.a = d.doc_id GROUP BY d.doc_id
+"""
