@@ -117,6 +117,55 @@ def test_versions_are_atomic_and_immutable(spark, tmp_path):
         sharding.ShardStore(spark, f"file://{tmp_path}/none").read()
 
 
+def test_columns_of_all_arrivals_are_kept(spark, tmp_path):
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/c", fan_in=2)
+    store.append(spark.createDataFrame([(1, "a")], "doc_id long, text string"))
+    store.append(spark.createDataFrame([(2, "b", 7)], "doc_id long, text string, more int"))
+    store.append(spark.createDataFrame([(3.5,)], "other double"))
+    want = {(1, "a", None, None), (2, "b", 7, None), (None, None, None, 3.5)}
+    for _ in range(2):
+        assert {(r.doc_id, r.text, r.more, r.other) for r in store.read().collect()} == want
+        store.compact()
+    assert len(store.shards()) < 3
+    with pytest.raises(ValueError):
+        store.append(spark.createDataFrame([("x",)], "doc_id string"))
+    assert not re.search("Python|Arrow|Pandas", store.read()._jdf.queryExecution().optimizedPlan().toString())
+
+
+def test_two_writers(spark, tmp_path):
+    one, two = (sharding.ShardStore(spark, f"file://{tmp_path}/d", fan_in=2) for _ in range(2))
+    one.append(docs(spark, [(1, "a")]).coalesce(1))
+    one.append(docs(spark, [(2, "b")]).coalesce(1))
+    run = two._write(docs(spark, [(3, "c")]).coalesce(1))  # written, not yet committed
+    held = one.read(2)
+    one.compact()
+    one.vacuum()
+    assert sorted(r.doc_id for r in held.collect()) == [1, 2]  # an older version stays readable
+    with pytest.raises(sharding.CommitConflict):
+        two.commit(run, 1)
+    two._commit_on_top(lambda shards, schema: (shards + run, schema))
+    assert sorted(r.doc_id for r in one.read().collect()) == [1, 2, 3]
+    one.vacuum(older_than=-1)
+    assert sorted(r.doc_id for r in one.read().collect()) == [1, 2, 3]
+    with pytest.raises(Exception):
+        one.read(1).collect()
+
+
+def test_a_claim_whose_writer_died_is_taken_over(spark, tmp_path, monkeypatch):
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/e")
+    store.append(docs(spark, [(1, "a")]))
+    assert store._claim(2) and not store._claim(2)
+    with pytest.raises(sharding.CommitConflict):
+        store.commit([], 1)
+    monkeypatch.setattr(sharding, "STALE_SECONDS", -1)
+    assert store.commit([], 1) == 2
+
+
+def test_sharding_of_nothing(spark, tmp_path):
+    store, version = sharding.shard(docs(spark, []), f"file://{tmp_path}/f")
+    assert store.read(version).collect() == [] and "shard_id" in store.read(version).columns
+
+
 # --- personal data --------------------------------------------------------------------------
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from . import html_text, impact_topk, mixing, pii, prefix_forest, substring_dedup, toxicity
+from . import html_text, impact_topk, mixing, near_dedup, pii, prefix_forest, sharding, substring_dedup, toxicity
 from .near_dedup import near_duplicates
 from .packing import pack
 from .sharding import shard
@@ -45,9 +45,11 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_tiered_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, shard_id, shard_bytes, version: the shard that holds each document in the last version."""
+    """The last version's rows (the text as its hash), and whether each one's shard is about the
+    target's size at most; shard_id, shard_bytes and shard_file are columns of ``store.read``."""
     store, version = shard(table(spark, sf_dir, "documents"))
-    return store.read(version).select("doc_id", "shard_id", "shard_bytes", F.lit(version).cast("long").alias("version"))
+    text = F.coalesce("text", F.lit(""))
+    return store.read(version).select("doc_id", "lang", "source", "n_chars", F.sha2(text, 256).alias("text_sha256"), F.col("text").isNull().alias("no_text"), (F.col("shard_bytes") <= 2 * store.target).alias("within_target"))
 
 
 def op7_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,4 +80,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": substring_dedup.ORACLE, "op2_curriculum_mixing": mixing.ORACLE, "op9_impact_topk": impact_topk.ORACLE}
+    return {"op1_substring_dedup": substring_dedup.ORACLE, "op2_curriculum_mixing": mixing.ORACLE, "op5_minhash_near_dedup": near_dedup.ORACLE, "op6_tiered_sharding": sharding.ORACLE, "op9_impact_topk": impact_topk.ORACLE}
