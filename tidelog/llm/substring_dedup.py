@@ -202,7 +202,7 @@ class FingerprintIndex:
         """Merge all runs into one, with one row for each digest."""
         old, self.runs = self.runs, []
         # stored first: a repartition right above an aggregate by the same key would be left out, and a bucket get several files
-        self._append(common.stored(self._digests([self.spark.table(run) for run in old]), "compacted"))
+        self._append(common.stored(self._digests([self.spark.table(run) for run in old]), "compacted", self.buckets * common.ROWS_PER_TASK // 8))
         for run in old:
             self.spark.sql(f"DROP TABLE {run}")
 
@@ -218,28 +218,30 @@ class FingerprintIndex:
         if len(self.runs) >= self.max_runs and len(self.runs) > 1:
             self.compact()
         history = list(self.runs)
-        prints = common.stored(_keyed(batch).where("doc_id is not null").mapInArrow(_fingerprint(self.window, self.anchor), SPAN), "prints")
+        batch = _keyed(batch).where("doc_id is not null")
+        n_docs = batch.count()
+        prints = common.stored(batch.mapInArrow(_fingerprint(self.window, self.anchor), SPAN), "prints", n_docs)
         self._append(prints.where("last is not null").select("h", "d1", "d2", F.struct("doc_id", "tkey", "pos", "cnt").alias("spot"), "last"))
         own = self.spark.table(self.runs[-1])
         known = self._digests([own, *[self.spark.table(run).join(own.select("h").hint("merge"), "h", "left_semi") for run in history]])
         over = lambda f, c: f(c).over(Window.partitionBy("h"))
         several = (over(F.min, F.struct("d1", "d2")) < over(F.max, F.struct("d1", "d2"))) & (over(F.min, F.col("spot.doc_id")) < over(F.max, F.col("spot.doc_id")))
         firsts = known.withColumn("part", several).where(F.col("part") | (F.col("last") > F.col("spot.doc_id")))
-        firsts = common.stored(firsts.select("h", "d1", "d2", "spot", "part"), "firsts")
+        firsts = common.stored(firsts.select("h", "d1", "d2", "spot", "part"), "firsts", n_docs)
         first = firsts.select("h", "d1", "d2", F.col("spot.doc_id").alias("first_doc"), "part")
         seen = prints.join(first, ["h", "d1", "d2"]).where((F.col("doc_id") > F.col("first_doc")) | F.col("part"))
-        seen = common.stored(seen.select("doc_id", "tkey", "pos", "cnt", (F.col("doc_id") > F.col("first_doc")).alias("whole")), "spans")
+        seen = common.stored(seen.select("doc_id", "tkey", "pos", "cnt", (F.col("doc_id") > F.col("first_doc")).alias("whole")), "spans", n_docs)
         whole = seen.where("whole").select("doc_id", "tkey", "pos", (F.col("cnt") + (self.window - 1)).alias("cnt"))
         part = seen.where("not whole").drop("whole")
         if first_id is not None:
             part = part.unionByName(firsts.where(F.col("part") & (F.col("spot.doc_id") < first_id)).select("spot.*"))
-        part = common.stored(part.groupBy("doc_id", "tkey").agg(F.sort_array(F.collect_set(F.struct("pos", "cnt"))).alias("spans")), "parts")
-        windows = common.stored(self._texts(store, part).mapInArrow(_windows(self.window), "w1 long, w2 long, doc_id long, tkey long, start int"), "windows")
+        part = common.stored(part.groupBy("doc_id", "tkey").agg(F.sort_array(F.collect_set(F.struct("pos", "cnt"))).alias("spans")), "parts", n_docs)
+        windows = common.stored(self._texts(store, part).mapInArrow(_windows(self.window), "w1 long, w2 long, doc_id long, tkey long, start int"), "windows", n_docs)
         earliest = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc").drop("last_doc")
-        earliest = common.stored(earliest, "earliest")
+        earliest = common.stored(earliest, "earliest", n_docs)
         new = F.lit(True) if first_id is None else F.col("doc_id") >= first_id
         partly = windows.where(new).join(earliest, ["w1", "w2"]).where("doc_id > first_doc").select("doc_id", "tkey", F.col("start").alias("pos"), F.lit(self.window).alias("cnt"))
-        return whole.unionByName(partly).groupBy("doc_id", "tkey").agg(F.collect_set(F.struct("pos", "cnt")).alias("spans"))
+        return common.stored(whole.unionByName(partly).groupBy("doc_id", "tkey").agg(F.collect_set(F.struct("pos", "cnt")).alias("spans")), "repeats", n_docs)
 
     def _texts(self, store: DataFrame, part: DataFrame) -> DataFrame:
         """The rows of ``store`` that ``part`` names, with its spans."""
@@ -277,7 +279,7 @@ def dedup_substrings(docs: DataFrame, batches: int = BATCHES, window: int = WIND
         batch = docs if a is None else docs.where(F.col("doc_id") >= a)
         batch = batch if b is None else batch.where(F.col("doc_id") < b)
         store = texts.read() if b is None else texts.read().where(F.col("doc_id") < b)
-        one = common.stored(index.ingest(batch, store, a), "repeats")
+        one = index.ingest(batch, store, a)
         found = one if found is None else found.unionByName(one)
     index.drop()
     kept = remove(texts.read(), found, with_text)
