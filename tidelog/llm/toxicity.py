@@ -8,9 +8,13 @@ correlation is left within the classes, joint tables for groups of correlated vo
 training labels hold the class of their documents. The posterior labels train a sparse
 linear classifier on hashed terms and stems, which scores every whole text.
 
-Bound: the classifier is fitted on ``FIT_ROWS`` rows of either posterior class, by
-smallest hash of doc_id. Mined lexicons cover all labelled training rows; votes, their
-counts, and scores cover all rows. Only rows with crc32(doc_id as text) mod 3
+Bound: the classifier is fitted on ``FIT_ROWS`` different rows (doc_id and text) of either
+posterior class, by smallest hash of doc_id, and of these on as many as hold ``FIT_FEATURES``
+features together. One executor's task fits it, within these bounds; what comes to the
+driver are its weights (2**BITS at most), the counts of vote patterns (3 * 2**voters at most)
+and the mined terms: each is in 1 / support toxic training texts at least, so there are no more
+than the mean number of different terms of a toxic text, divided by ``support``. Mined
+lexicons cover all labelled training rows; votes, their counts, and scores cover all rows. Only rows with crc32(doc_id as text) mod 3
 other than 1 give labels or are fitted on. Labels, language, source and id are no input
 of a score.
 
@@ -34,7 +38,7 @@ from . import common
 from .wordhash import U, Words, mix, term_hash
 
 THRESHOLD = 0.7
-FIT_ROWS, BITS = 4_000, 20
+FIT_ROWS, FIT_FEATURES, BITS = 4_000, 6_000_000, 20
 #: Bytes of a term's stems: insults inflect.
 STEMS = (4, 5)
 #: The voters' lexicons.
@@ -124,7 +128,7 @@ def votes_of(b: pa.RecordBatch, lexicons: list[np.ndarray], n_fixed: int) -> np.
 def _votes(lexicons: list[np.ndarray], n_fixed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.steps(batches):
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(votes_of(b, lexicons, n_fixed))], names=["doc_id", "votes"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tkey"), pa.array(votes_of(b, lexicons, n_fixed))], names=["doc_id", "tkey", "votes"])
 
     return run
 
@@ -217,7 +221,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f, d = features(h, doc)
         cut = np.searchsorted(d, np.arange(b.num_rows + 1))
         f = f.astype(np.int32)
-        yield pa.RecordBatch.from_arrays([b.column("votes"), pa.array([f[x:y].tobytes() for x, y in zip(cut, cut[1:])], pa.binary())], names=["votes", "features"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tkey"), b.column("votes"), pa.array([f[x:y].tobytes() for x, y in zip(cut, cut[1:])], pa.binary())], names=["doc_id", "tkey", "votes", "features"])
 
 
 def fit_linear(rows: list[np.ndarray], target: np.ndarray, weight: np.ndarray, l1: float = 2e-4, steps: int = 150) -> tuple[np.ndarray, float]:
@@ -251,6 +255,29 @@ def fit_linear(rows: list[np.ndarray], target: np.ndarray, weight: np.ndarray, l
     return w, float(a * v[-1] + b)
 
 
+def _fit(likely: dict[int, float], share: list[int], max_features: int):
+    """One task's rows (votes, features), in their order, to the weights: (feature, weight), the bias as feature -1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, target, held = [], [], 0
+        for b in batches:
+            for votes, f in zip(b.column("votes").to_pylist(), b.column("features")):
+                f = np.frombuffer(f.as_buffer(), np.int32)
+                if held + len(f) <= max_features:
+                    rows.append(f.copy())
+                    target.append(likely[votes])
+                    held += len(f)
+        target = np.array(target, float)
+        count = [max(1, int((target <= 0.5).sum())), max(1, int((target > 0.5).sum()))]
+        weight = np.where(target > 0.5, share[1] / count[1], share[0] / count[0])
+        weight = np.maximum(weight, weight.sum() / max(len(rows), 1) * 0.2)  # a rare class still counts
+        w, bias = fit_linear(rows, target, weight)
+        live = np.flatnonzero(w)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(-1, live), pa.int64()), pa.array(np.append(bias, w[live]))], names=["feature", "weight"])
+
+    return run
+
+
 def _calibrated(z: np.ndarray, target: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
     """Scale and shift of the margins: the sparsity's shrinkage is undone by a factor of two, and
     the threshold score falls into the widest gap of margins with the fewest errors."""
@@ -282,15 +309,15 @@ def _score(w: np.ndarray, bias: float):
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[np.ndarray, float, LabelModel]:
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_features: int = FIT_FEATURES) -> tuple[np.ndarray, float, LabelModel]:
     """The classifier's weights and bias, and the label model."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tkey"))
     known = labels.where(training("doc_id") & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("toxic") >= 0.5).cast("long").alias("toxic"))
     known = common.stored(known, "labels")
     few = known.count() <= common.BROADCAST_KEYS // 2  # two longs a row
-    labelled = common.stored(texts.join(F.broadcast(known) if few else known, "doc_id"), "labelled")
+    labelled = common.stored(texts.drop("tkey").join(F.broadcast(known) if few else known, "doc_id"), "labelled")
     lexicons = [term_hash(words) for words in LEXICONS.values()] + mine(labelled)
-    voted = common.stored(texts.mapInArrow(_votes(lexicons, len(LEXICONS)), "doc_id long, votes long"), "votes")
+    voted = common.stored(texts.mapInArrow(_votes(lexicons, len(LEXICONS)), "doc_id long, tkey long, votes long"), "votes")
     table = voted.join(known, "doc_id", "left").groupBy("votes", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()  # at most 3 * 2**voters rows
     model = LabelModel(len(VOTERS))
     if not table:
@@ -305,14 +332,17 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[n
         one = mine_side(side)
         total = sum(r["n"] for r in table if int(r["votes"]) in set(sides[side]))
         share.append(total)
-        one = one.select("doc_id", "votes").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
+        one = one.select("doc_id", "tkey", "votes").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "tkey").limit(fit_rows)
         chosen = one if chosen is None else chosen.unionByName(one)
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("text", "votes").mapInArrow(_rows, "votes long, features binary").collect()  # at most 2 * fit_rows rows
-    target = np.array([likely[r["votes"]] for r in rows])
-    count = [max(1, int((target <= 0.5).sum())), max(1, int((target > 0.5).sum()))]
-    weight = np.where(target > 0.5, share[1] / count[1], share[0] / count[0]) if rows else np.zeros(0)
-    weight = np.maximum(weight, weight.sum() / max(len(rows), 1) * 0.2) if len(weight) else weight  # a rare class still counts
-    w, bias = fit_linear([np.frombuffer(r["features"], np.int32) for r in rows], target, weight)
+    rows = texts.join(F.broadcast(chosen), ["doc_id", "tkey"]).select("doc_id", "tkey", "text", "votes").mapInArrow(_rows, "doc_id long, tkey long, votes long, features binary")
+    rows = rows.dropDuplicates(["doc_id", "tkey"]).repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "tkey")  # at most 2 * fit_rows
+    weights = common.stored(rows.select("votes", "features").mapInArrow(_fit(likely, share, fit_features), "feature long, weight double"), "weights").collect()
+    w, bias = np.zeros(1 << BITS), -3.0
+    for r in weights:
+        if r["feature"] < 0:
+            bias = r["weight"]
+        else:
+            w[r["feature"]] = r["weight"]
     return w, bias, model
 
 
