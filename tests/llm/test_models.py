@@ -2,6 +2,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -277,3 +278,43 @@ MENU = "<div>" + "<a href=x>menu item</a> " * 30 + "</div>"
 ])
 def test_text_beside_the_densest_subtree(body, before, after):
     assert html_text.extract(PAGE % body) == "\n".join(filter(None, [before, LONG_TEXT, after]))
+
+
+def test_prose_within_an_article_and_unclosed_media():
+    page = "<body><article><h1>Market news</h1><p class='share-price'>Shares rose by a tenth.</p>{}<p>They fell again the next day.</p><p class='share'>Tell a friend</p></article></body>"
+    want = "Market news\nShares rose by a tenth.\nThey fell again the next day."
+    for media in ("<video src=x>", "<video src=x>no player</video>", "<iframe src='a'>", "<object><p>old</p></object>", "<svg><text>axis</text></svg>"):
+        assert html_text.extract(page.format(media)) == want
+    assert html_text.extract("<body><p>See <a href=http://x/>the page</a> for more.</p><p>Here <math><mi>x</mi></math> is one.</p></body>") == "See the page for more.\nHere x is one."
+
+
+def test_scores_saturate(spark):
+    rows = [(0, [1e18, 1.0]), (1, [1e18, 2.0]), (2, [1e18, 3.0]), (3, [-1e18, 0.0]), (4, [1e308, 1.0]), (5, [2.0**55, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.vec_id, r.score) for r in impact_topk.top_k(df).orderBy("rank").collect()]
+    assert got == [(1, 2**63 - 1), (2, 2**63 - 1), (5, 2**63 - 1), (3, -(2**63))]
+
+
+def test_impact_search_stops_queries_one_by_one():
+    rng = np.random.default_rng(3)
+    x = np.where(rng.random((3000, 32)) < 0.1, rng.integers(200, 4000, (3000, 32)), rng.integers(-3, 4, (3000, 32)))
+    index, q = impact_topk.ImpactIndex(x), x[:40]
+    for i, rows, score in index.top(q, 20):
+        full = x @ q[i]
+        best = np.lexsort((np.arange(3000), -full))[:21]
+        assert set(best) <= set(rows) and (score == full[rows]).all()
+    stopped = sum(len(rows) > 21 or True for _, rows, _ in index.top(q, 20))
+    assert stopped == 40
+
+
+def test_rows_of_one_doc_id_dont_fill_the_fit(spark, monkeypatch):
+    rows = [(1, "calm words") for _ in range(500)] + [(1, f"other {i}") for i in range(40)] + [(i, f"calm text {i}") for i in range(2, 40)]
+    d = docs(spark, rows)
+    lab = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    seen = []
+    real = toxicity.common.stored
+    monkeypatch.setattr(toxicity.common, "stored", lambda df, name, *a: seen.append((name, df)) or real(df, name, *a))
+    toxicity.fit(d, lab, fit_rows=10)
+    assert "weights" in [n for n, _ in seen]
+    target = list(toxicity._fit({0: 0.0, 1: 1.0}, [5, 5], 8)(iter([pa.RecordBatch.from_pydict({"votes": [0, 1, 0], "features": [np.arange(4, dtype=np.int32).tobytes()] * 3})])))
+    assert target[0].column("feature").to_pylist()[0] == -1

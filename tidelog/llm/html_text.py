@@ -21,7 +21,8 @@ block is one space, blocks are joined by a newline in page order.
 Defined results: null or empty html, and pages without article text, give an empty
 string; unclosed and stray tags are taken as browsers do in the cases that matter here
 (p and li close implicitly, the end of the page closes all); rows are independent of
-one another; a page is read whole, whatever its length.
+one another; a page is read whole, whatever its length. Media and frames without an end
+tag are empty; scripts, styles and text fields without one take the rest of the page.
 """
 
 from __future__ import annotations
@@ -39,7 +40,11 @@ from . import common
 
 #: Element names of HTML by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe svg math object canvas audio video textarea title xmp".split())
+RAW = frozenset("script style textarea title xmp".split())
+#: What these hold is no article; without an end tag they are empty.
+SKIPPED = frozenset("noscript template iframe svg object canvas audio video".split())
+#: Blocks of running text: within an article only a word that is a whole class speaks against them.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd figcaption td th em strong span b i".split())
 APART = frozenset("head nav aside form button select option fieldset dialog menu footer".split())
 BLOCK = frozenset("html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption header address details summary center hgroup search".split())
 HEADLINE = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -76,7 +81,10 @@ def _is_boiler(tag: str, attrs: str, inside_article: bool) -> bool:
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "hidden" and not value or name == "aria-hidden" and value.lower() == "true":
             return True
-        if value and (BOILER.search(_HUMP.sub("-", value)) or not inside_article and HEADER.search(value)):
+        if value and inside_article and tag in PROSE:
+            if any(BOILER.fullmatch(word) for word in value.split()):
+                return True
+        elif value and (BOILER.search(_HUMP.sub("-", value)) or not inside_article and HEADER.search(value)):
             return True
     return False
 
@@ -110,10 +118,9 @@ def parse(html: str) -> Node:
                 articles -= at.tag in ("article", "main")
                 at = at.parent
             continue
-        if tag in RAW:
-            if not attrs.endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(html, pos)
-                pos = end.end() if end else n
+        if tag in RAW or tag in SKIPPED:
+            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(html, pos)
+            pos = end.end() if end else n if tag in RAW else pos
             continue
         if tag in ("html", "body") and at.tag in ("html", "body", "head"):
             while at.tag == "head" and at.parent is not None:
@@ -137,9 +144,8 @@ def parse(html: str) -> Node:
                 node = node.parent
         node = Node(tag, at, at.apart or _is_boiler(tag, attrs, articles > 0))
         at.items.append(node)
-        if not attrs.endswith("/"):
-            at = node
-            articles += tag in ("article", "main")
+        at = node  # a slash at the end closes nothing
+        articles += tag in ("article", "main")
     return root
 
 
