@@ -125,7 +125,7 @@ def test_near_duplicates_match_brute_force(spark):
 def test_a_large_bucket_takes_several_rounds(spark):
     base = words(150, 3)
     rows = [(i, " ".join(base[: 100 + i % 50] + words(3 + i % 40, i))) for i in range(80)]
-    out = {r.doc_id: r.class_id for r in nd.near_duplicates(docs(spark, rows), offers=1, later_offers=2).collect()}
+    out = {r.doc_id: r.class_id for r in nd.near_duplicates(docs(spark, rows), offers=(1, 2)).collect()}
     assert out == classes(rows)
 
 

@@ -31,20 +31,21 @@ counts); a null doc_id is left out of the classes and returned with a null class
 
 from __future__ import annotations
 
+import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 from .wordhash import U, mix, shingle_sets
 
 K_WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 40, 7
-#: Representatives that a bucket offers in the first round, and in the later ones, at most.
-OFFERS, LATER_OFFERS = 4, 4096
+#: Representatives that a bucket offers at most in the first, the second, and each later round.
+OFFERS = (4, 64, 1024)
 #: Up to so many links (16 bytes each) are connected in one task; more by propagation.
 TASK_LINKS = 500_000
 #: 64-bit words of a parity bitmap.
@@ -222,7 +223,12 @@ def merged(comp: DataFrame | None, links: DataFrame, rows: int) -> DataFrame:
     return common.stored(nodes.join(far, "comp", "left").select("node", F.coalesce("far", "comp").alias("comp")), "components", rows)
 
 
-def near_duplicates(docs: DataFrame, k_words: int = K_WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, weighted: bool = True, offers: int = OFFERS, later_offers: int = LATER_OFFERS) -> DataFrame:
+def _mark(key: Column) -> Column:
+    """31 bits of a bucket's key."""
+    return key.bitwiseAND(0x7FFFFFFF).cast("int")
+
+
+def near_duplicates(docs: DataFrame, k_words: int = K_WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, weighted: bool = True, offers: Sequence[int] = OFFERS) -> DataFrame:
     """(doc_id, class_id): class_id is the smallest doc_id that links of at least
     ``similarity`` connect with the document."""
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -237,7 +243,7 @@ def near_duplicates(docs: DataFrame, k_words: int = K_WORDS, similarity: float =
     own = common.stored(own, "representatives", n_docs)
     keyed = own.select("rep", "n", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("key")
-    bitmaps = own.groupBy("rep").agg(*[F.first(F.col("bits")[i]).alias(f"b{i}") for i in range(BITMAP)])
+    bitmaps = own.groupBy("rep").agg(*[F.first(F.col("bits")[i]).alias(f"b{i}") for i in range(BITMAP)], F.first(F.transform("keys", _mark)).alias("marks"))
     bucket = common.stored(keyed.join(shared, "key").distinct().join(bitmaps, "rep"), "buckets", 8 * n_docs)
     comp, size = None, bucket.count()
     involved = bucket.select(F.col("rep").alias("doc_id")).distinct()
@@ -246,28 +252,30 @@ def near_duplicates(docs: DataFrame, k_words: int = K_WORDS, similarity: float =
     if not one.where("rows > 1").isEmpty():
         sets = sets.join(rep.select(F.col("rep").alias("doc_id"), "s1"), ["doc_id", "s1"], "left_semi").groupBy("doc_id").agg(F.first("elements").alias("elements"))
     sets = common.stored(sets.select("doc_id", "elements"), "elements", size)
-    bits = [f"b{i}" for i in range(BITMAP)]
-    while True:
+    bits, carried = [f"b{i}" for i in range(BITMAP)], [*[f"b{i}" for i in range(BITMAP)], "marks"]
+    for turn in itertools.count():
         at = bucket.withColumn("comp", F.col("rep")) if comp is None else bucket.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
         sized = at.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
         open_ = sized.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.max(F.struct("m", "comp"))["comp"].alias("largest")).where("c > 1").drop("c")
         at = common.stored(at.join(open_, "key").join(sized, ["key", "comp"]), "open", size)
         if at.isEmpty():
             break
-        slot = F.pmod(F.xxhash64("rep"), F.lit(offers))
+        slot = F.pmod(F.xxhash64("rep"), F.lit(offers[min(turn, len(offers) - 1)]))
         offered = at.where("comp <> largest").groupBy("key", slot.alias("slot")).agg(F.min(F.struct("m", F.xxhash64("rep").alias("h"), "rep", "comp", "n", *bits)).alias("o"))
         offered = common.stored(offered.select("key", F.col("o.rep").alias("hub"), F.col("o.comp").alias("hub_comp"), F.col("o.n").alias("hub_n"), *[F.col(f"o.{x}").alias(f"hub_{x}") for x in bits]), "offered", size)
+        # a pair is compared once a round, in the least of the buckets that offer the one and hold the other
+        everywhere = offered.groupBy("hub").agg(F.collect_set(_mark(F.col("key"))).alias("hub_marks"))
+        once = _mark(F.col("key")) == F.array_min(F.array_intersect("marks", "hub_marks"))
         # |x - y| + |y - x| <= (1 - s) / (1 + s) * (|x| + |y|) for a similarity of at least s
         apart = sum((F.bit_count(F.col(x).bitwiseXOR(F.col(f"hub_{x}"))) for x in bits[1:]), F.bit_count(F.col(bits[0]).bitwiseXOR(F.col(f"hub_{bits[0]}"))))
-        near = (F.col("comp") != F.col("hub_comp")) & (F.least("n", "hub_n") >= similarity * F.greatest("n", "hub_n")) & (apart <= (1 - similarity) / (1 + similarity) * (F.col("n") + F.col("hub_n")) + 1e-6)
-        pairs = at.join(offered, "key").where(near).select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
+        near = (F.col("comp") != F.col("hub_comp")) & (F.least("n", "hub_n") >= similarity * F.greatest("n", "hub_n")) & (apart <= (1 - similarity) / (1 + similarity) * (F.col("n") + F.col("hub_n")) + 1e-6) & once
+        pairs = at.join(offered.join(everywhere, "hub"), "key").where(near).select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
         checked = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("elements").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("elements").alias("y")), "b")
         compared = common.stored(checked.mapInArrow(_verify, "a long, b long, s double"), "compared", size)
         links = compared.where(F.col("s") >= similarity - 1e-12).select("a", "b")
-        bucket = common.stored(at.select("key", "rep", "n", *bits).join(offered.select("key", F.col("hub").alias("rep")), ["key", "rep"], "left_anti"), "buckets", size)
+        bucket = common.stored(at.select("key", "rep", "n", *carried).join(offered.select("key", F.col("hub").alias("rep")), ["key", "rep"], "left_anti"), "buckets", size)
         if not links.isEmpty():
             comp = merged(comp, links, size)
-        offers = later_offers
     classes = members
     if comp is not None:
         classes = members.join(comp.select(F.col("node").alias("rep"), "comp"), "rep", "left").select("doc_id", F.coalesce("comp", "rep").alias("class_id"))
