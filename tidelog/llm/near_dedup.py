@@ -44,8 +44,8 @@ from . import common
 from .wordhash import U, mix, shingle_sets
 
 K_WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 40, 7
-#: Representatives that a bucket offers at most in the first, the second, and each later round.
-OFFERS = (4, 64, 1024)
+#: Representatives that a bucket offers at most in the first and in each later round.
+OFFERS = (4, 4096)
 #: Up to so many links (16 bytes each) are connected in one task; more by propagation.
 TASK_LINKS = 500_000
 #: 64-bit words of a parity bitmap.
