@@ -5,7 +5,7 @@ import urllib.request
 import pytest
 
 from tidelog.plans.language import ConfigError
-from tidelog.streaming import engine, sinks
+from tidelog.streaming import buffer, engine, sinks
 
 
 def free_port(kind=socket.SOCK_STREAM):
@@ -123,3 +123,13 @@ def test_validate():
     assert engine.validate("from timer; to nowhere").startswith("Unsupported destination type")
     with pytest.raises(ConfigError):
         engine.Engine(None, "nonsense") if False else __import__("tidelog.plans.commands", fromlist=["x"]).read_program("nonsense")
+
+
+def test_a_chunk_that_fits_no_buffer_is_lost_alone():
+    queue = buffer.Queue(buffer.Buffer(200, "off"), 3)
+    for i in range(12):
+        queue.put({"payload": (b"x" * 300 if 3 <= i < 6 else b"y")})
+    got = []
+    while part := queue.take():
+        got += part
+    assert len(got) == 9 and queue.overflow == 3 and all(m["payload"] == b"y" for m in got)

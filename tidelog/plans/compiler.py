@@ -44,7 +44,6 @@ class Lowering:
     now: Column | None = None
     host: str | None = None
     nanos: int | None = None
-    exact_json: bool = False
     json_keys: list[str] | None = None
     #: Called with the messages before and after a parser that drops what it can't parse.
     on_drop: Callable[[DataFrame, DataFrame], None] | None = None
@@ -86,7 +85,7 @@ class Lowering:
         if x.kind == "syslog":
             return parse.syslog(df, x.keep_unparsed, guard)
         if x.kind == "json":
-            return parse.json_fields(df, x.keep_unparsed, guard, self.json_keys, self.exact_json)
+            return parse.json_fields(df, x.keep_unparsed, guard, self.json_keys)
         if x.kind == "regexp":
             return parse.regexp(df, x.regexp, x.keep_unparsed, guard)
         if x.kind == "fieldpack":

@@ -91,9 +91,35 @@ def parse_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse.json_fields(_events(spark, sf_dir).select("event_id", "payload"), keys=["k"]).select("event_id", "k")
 
 
-@query(f"WITH {_EVENTS} SELECT event_id, json_extract_string(payload, '$.k') AS k FROM e")
-def parse_json_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse.json_fields(_events(spark, sf_dir).select("event_id", "payload"), keys=["k"], exact=True).select("event_id", "k")
+@query(f"WITH {_EVENTS} SELECT event_id, amount || '0' AS a, event_id || 'e3' AS b, '-0.50' AS c, 'say \"1.0\": 2.50' AS d, 'true' AS e FROM e")
+def parse_json_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers keep their text; a number in a string is left alone."""
+    df = transform(r"""set $payload '{"a": ${amount}0, "b":${event_id}e3 , "c":-0.50, "d": "say \\"1.0\\": 2.50", "e": true, "f": null}'""".replace("${amount}", "{$amount}").replace("${event_id}", "{$event_id}"), _events(spark, sf_dir))
+    return parse.json_fields(df.select("event_id", "payload"), keys=["a", "b", "c", "d", "e"]).select("event_id", "a", "b", "c", "d", "e")
+
+
+@query(f"WITH {_EVENTS} SELECT event_id, json_extract_string(payload, '$.k') AS k FROM e WHERE event_type NOT IN ('error', 'view', 'click')")
+def parse_json_trailing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is no flat object and nothing else is dropped: text after it, an array, a nested value."""
+    df = transform(r"""switch $event_type {
+        case error { set $payload '$payload x'; } case view { set $payload '[$payload]'; } case click { set $payload '{"k": $payload}'; }
+    }""", _events(spark, sf_dir).select("event_id", "event_type", "payload"))
+    return parse.json_fields(df, keys=["k"]).select("event_id", "k")
+
+
+@query(f"WITH {_EVENTS} SELECT event_id, strftime(CAST(left(date, 19) AS TIMESTAMP), '%d/%m/%Y %H.%M.%S') || ' +0230' AS at, strftime(CAST(left(date, 19) AS TIMESTAMP), '%H:%M:%S') AS clock, CAST(CAST(epoch(CAST(left(date, 19) AS TIMESTAMP)) AS BIGINT) - 9000 AS VARCHAR) || '000' AS ms, CAST(CAST(epoch(CAST(left(date, 19) AS TIMESTAMP)) AS BIGINT) - 9000 AS VARCHAR) || '000000' AS us FROM e")
+def time_access_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates as access logs write them, in other forms; the offset stays."""
+    e = _events(spark, sf_dir)
+    local = F.to_timestamp(F.left("date", F.lit(19)), "yyyy-MM-dd'T'HH:mm:ss")
+    df = e.withColumn("date", F.concat(F.date_format(local, "dd/MMM/yyyy:HH:mm:ss"), F.lit(" +0230")))
+    return transform("set $at date as 'dd/MM/yyyy HH.mm.ss Z' in $date; set $clock date as time in $date; set $ms date as unixtime-milliseconds in $date; set $us date as unixtime-microseconds in $date", df).select("event_id", "at", "clock", "ms", "us")
+
+
+@query(f"WITH {_EVENTS} SELECT event_id, '{fields.host()}' AS here, '' AS missing, '{fields.host()} ' || event_type AS line FROM e")
+def host_env(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = transform("set $here host; set $missing env TIDELOG_NO_SUCH_VARIABLE; set $line '$here $event_type'", _events(spark, sf_dir))
+    return df.select("event_id", "here", F.coalesce("missing", F.lit("")).alias("missing"), "line")
 
 
 @query(f"WITH {_EVENTS} SELECT event_id, json_extract_string(payload, '$.k') AS k FROM e")

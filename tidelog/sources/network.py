@@ -67,7 +67,8 @@ class Spool:
     def __init__(self, path: str, queue: Queue, pause: float = 0.05):
         self.path, self.queue, self.pause = path, queue, pause
         os.makedirs(path, exist_ok=True)
-        self._n, self._stop = 0, threading.Event()
+        # numbers go on where an earlier spool ended, as long as it wrote less than a message a microsecond
+        self._n, self._stop = time.time_ns() // 1000, threading.Event()
         self.paused = threading.Event()
         self._thread = threading.Thread(target=self._run, daemon=True)
         self._thread.start()
@@ -259,7 +260,8 @@ class Listeners:
 
 def spooled(spark: SparkSession, path: str, stream: bool = True) -> DataFrame:
     """The spool as a stream (or a batch) of messages."""
-    reader = spark.readStream if stream else spark.read
+    # a file goes once the batch that read it is committed
+    reader = spark.readStream.option("cleanSource", "delete") if stream else spark.read
     return reader.schema(SCHEMA).json(path).withColumn("payload", F.col("payload").cast("string"))
 
 

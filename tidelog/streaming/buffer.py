@@ -8,12 +8,13 @@ oldest buffered chunks of any queue, whose messages count as overflow.
 
 from __future__ import annotations
 
+import logging
 import threading
 import time
-import zlib
 from collections import deque
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -22,10 +23,19 @@ from ..functions import packs
 from .metrics import Metrics
 
 DEFAULT_BYTES, DEFAULT_CHUNK = 128 << 20, 500
+_LZ4, _log = pa.Codec("lz4_raw"), logging.getLogger("tidelog.buffer")
+
+
+def _compress(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + _LZ4.compress(data, asbytes=True)
+
+
+def _decompress(data: bytes) -> bytes:
+    return _LZ4.decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
 
 
 class Buffer:
-    """The shared memory of several queues. ``compression``: 'off' or 'fast'."""
+    """The shared memory of several queues. ``compression``: 'off', or 'fast' (LZ4)."""
 
     def __init__(self, limit: int = DEFAULT_BYTES, compression: str = "fast", metrics: Metrics | None = None, name: str = "defaultBuffer"):
         self.limit, self.compression, self.metrics, self.name = limit, compression, metrics, name
@@ -33,8 +43,11 @@ class Buffer:
 
     def allocate(self, chunk: _Chunk) -> None:
         size = len(chunk.packed)
-        if size > self.limit:
-            raise ValueError(f"a chunk of {size} bytes doesn't fit a buffer of {self.limit}")
+        if size > self.limit:  # lost by itself: nothing else makes room for it
+            _log.error("a chunk of %s bytes doesn't fit a buffer of %s: its messages are lost", size, self.limit)
+            chunk.packed = None
+            chunk.queue._lose(chunk)
+            return
         with self.lock:
             while self.used + size > self.limit:
                 old = self._order.popleft()
@@ -84,7 +97,7 @@ class Queue:
         data = self._timed("pack", packs.encode, chunk.messages)
         if self.buffer.compression != "off":
             whole = len(data)
-            data = self._timed("compress", zlib.compress, data, 1)
+            data = self._timed("compress", _compress, data)
             if self.metrics:
                 self.metrics.add("compressBeforeTotalBytes", whole)
                 self.metrics.add("compressAfterTotalBytes", len(data))
@@ -95,7 +108,7 @@ class Queue:
         if chunk.packed is None:
             return chunk.messages
         self.buffer.release(chunk)
-        data = chunk.packed if self.buffer.compression == "off" else self._timed("decompress", zlib.decompress, chunk.packed)
+        data = chunk.packed if self.buffer.compression == "off" else self._timed("decompress", _decompress, chunk.packed)
         return self._timed("unpack", packs.decode, data)
 
     def _lose(self, chunk: _Chunk) -> None:

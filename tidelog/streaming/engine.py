@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import logging
 import tempfile
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -116,8 +117,9 @@ class Engine:
 
     def __init__(self, spark: SparkSession, text: str, work: str | None = None, dialect: c.Dialect | None = None, trigger: str = "200 milliseconds", table_stream: Callable[[str], DataFrame] | None = None):
         self.spark, self.dialect, self.trigger, self.table_stream = configured(spark), dialect or c.Dialect(), trigger, table_stream
-        self.work = work or tempfile.mkdtemp(prefix="tidelog-engine-")
-        self.metrics, self.queries, self.server, self._generation = Metrics(spark), [], None, 0
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        self.work = work or (f"{shared.removeprefix('file://').rstrip('/')}/engine-{uuid.uuid4().hex[:12]}" if shared and "://" not in shared.removeprefix("file://") else tempfile.mkdtemp(prefix="tidelog-engine-"))
+        self.metrics, self.queries, self.server, self._served, self._generation = Metrics(spark), [], None, None, 0
         self.program = c.read_program(text, dialect=self.dialect, spark=spark)
         o = self.program.options
         self.buffer = Buffer(o.buffer_bytes, o.compression, self.metrics)
@@ -150,8 +152,12 @@ class Engine:
             for j, key in enumerate(found):
                 united = model.union(united, self._stream(by_key[key]).withColumn("_source", F.lit(j)))
             self.queries.append(united.writeStream.foreachBatch(self._batch(body, found)).option("checkpointLocation", f"{self.work}/checkpoint-{self._generation}-{i}").trigger(processingTime=self.trigger).start())
-        if self.program.options.prometheus and self.server is None:
-            self.server = PrometheusServer(self.metrics, *self.program.options.prometheus)
+        wanted = self.program.options.prometheus
+        if self.server is not None and wanted != self._served:
+            self.server.stop()
+            self.server = None
+        if wanted and self.server is None:
+            self.server, self._served = PrometheusServer(self.metrics, *wanted), wanted
         return self
 
     def _batch(self, body: tuple, found: list[tuple]) -> Callable[[DataFrame, int], None]:

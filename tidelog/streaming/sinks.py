@@ -96,6 +96,21 @@ def to_udp(df: DataFrame, address: tuple[str, int], metrics: Metrics | None = No
     return sent[0]
 
 
+#: Connections of this worker process, which Spark uses again for later micro-batches.
+LINKS: dict[tuple[str, int], socket.socket] = {}
+
+
+def _hung_up(link: socket.socket) -> bool:
+    """Whether the other side has closed the connection."""
+    link.setblocking(False)
+    try:
+        return link.recv(1, socket.MSG_PEEK) == b""
+    except BlockingIOError:
+        return False
+    finally:
+        link.settimeout(CONNECT_TIMEOUT)
+
+
 def _tcp(address: tuple[str, int], give_up: float | None):
     def connect() -> socket.socket:
         began = time.monotonic()
@@ -108,30 +123,29 @@ def _tcp(address: tuple[str, int], give_up: float | None):
                 time.sleep(RETRY_PAUSE)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        link = None
+        from tidelog.streaming.sinks import LINKS  # the worker's own, whatever this function was sent with
+
         for batch in batches:
             sizes = []
             for p in batch["payload"]:
                 while True:
                     try:
-                        link = link or connect()
-                        link.sendall(terminated(bytes(p)))
+                        if address not in LINKS or _hung_up(LINKS[address]):
+                            LINKS[address] = connect()
+                        LINKS[address].sendall(terminated(bytes(p)))
                         break
                     except OSError:
-                        if link is None:
+                        if address not in LINKS:
                             raise
-                        link.close()
-                        link = None
+                        LINKS.pop(address).close()
                 sizes.append(len(p))
             yield _report(sizes)
-        if link:
-            link.close()
 
     return run
 
 
 def to_tcp(df: DataFrame, address: tuple[str, int], metrics: Metrics | None = None, give_up: float | None = None) -> int:
-    """Lines over one connection, in order; retried until they are sent (at least once)."""
+    """Lines in order over one connection, which stays open; retried until they are sent (at least once)."""
     sent = _send(_payloads(df).coalesce(1).sortWithinPartitions("seq"), _tcp(address, give_up))
     if metrics:
         metrics.transfer("toTcp", *sent)
