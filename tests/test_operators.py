@@ -117,7 +117,7 @@ def test_parsers_run_in_streams(spark, tmp_path):
 
 def test_a_later_filter_reaches_the_scan(spark, tmp_path):
     spark.createDataFrame([(1, '{"a": 1}')], "n int, payload string").write.parquet(f"{tmp_path}/in")
-    plan = transform("parse json", spark.read.parquet(f"{tmp_path}/in")).where("n > 5")._jdf.queryExecution().optimizedPlan().toString()
+    plan = transform("parse syslog", spark.read.parquet(f"{tmp_path}/in")).where("n > 5")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("> 5") > plan.index("Generate")
 
 
