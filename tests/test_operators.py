@@ -12,7 +12,10 @@ from tidelog.sources import network, tables
 from tidelog.streaming import buffer, engine, metrics
 
 
-@pytest.mark.parametrize("path,name", [("..", "noname"), (".", "noname"), ("/", "noname"), ("~", "noname"), ("|", "noname"), ("a/b/c", "c"), ("c", "c"), ("..a", "..a"), ("a/b/c/", "c"), ("~user", "user"), ("/path/filename.ext", "filename.ext"), ("log-collector", "log-collector"), ("", "noname"), ("a\\b:c;d", "d")])
+@pytest.mark.parametrize("path,name", [
+    ("", "noname"), ("///", "noname"), ("logs/..", "noname"), ("logs/.", "noname"), ("home:~", "noname"), ("x;|", "noname"),
+    ("/var/log/shop/access.log", "access.log"), ("shop\\2024:errors;today", "today"), ("/srv/журнал/день.txt//", "день.txt"), ("~backup.tar", "backup.tar"), ("...", "..."), ("a b/c d", "c d"),
+])
 def test_basename(send, path, name):
     assert send("set $b basename $path", path=path)["b"] == name
 
