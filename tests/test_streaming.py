@@ -43,13 +43,13 @@ def test_udp_tcp_and_frames_to_mock(running):
     sinks.MemorySink.rows("one").clear()
     sinks.MemorySink.rows("two").clear()
     with socket.socket(socket.AF_INET, socket.SOCK_DGRAM) as s:
-        s.sendto("<14>Nov 25 13:46:44 prog: привет".encode(), ("127.0.0.1", udp))
+        s.sendto("<14>Mar  7 08:15:02 prog: grüße".encode(), ("127.0.0.1", udp))
         s.sendto(b"not syslog", ("127.0.0.1", udp))
     for port, data in ((tcp, b"line one\r\nline two\nrest"), (framed, b"5 hello3 abc")):
         with socket.create_connection(("127.0.0.1", port)) as s:
             s.sendall(data)
     assert wait(lambda: sinks.MemorySink.rows("one") and len(sinks.MemorySink.rows("two")) >= 5)
-    assert sinks.MemorySink.rows("one") == ["prog: привет"]
+    assert sinks.MemorySink.rows("one") == ["prog: grüße"]
     assert sorted(sinks.MemorySink.rows("two")) == ["abc", "hello", "line one", "line two", "rest"]
     assert wait(lambda: counts.read(False)["unparsedDropped"] == 1)
     seen = counts.read(False)
@@ -120,7 +120,7 @@ def test_streams_of_a_program():
 
 def test_validate():
     assert engine.validate("from timer; to stdout") is None
-    assert engine.validate("from timer; to nowhere").startswith("Unsupported destination type")
+    assert engine.validate("from timer; to nowhere").startswith("`to` knows no such sink")
     with pytest.raises(ConfigError):
         engine.Engine(None, "nonsense") if False else __import__("tidelog.plans.commands", fromlist=["x"]).read_program("nonsense")
 

@@ -18,6 +18,7 @@ from .regexps import Regexp
 
 #: syslog's severity names by number.
 SEVERITIES = ("EMERG", "ALERT", "CRIT", "ERR", "WARNING", "NOTICE", "INFO", "DEBUG")
+#: What stands for a date or a file name that is none.
 INVALID_DATE, NO_NAME = "invalid-date", "noname"
 DEFAULT_FACILITY, DEFAULT_SEVERITY = 1, 6
 
@@ -65,12 +66,14 @@ def replace(regexp: Regexp, replacement: Column, subject: Column) -> Column:
 
 # --- date and time ---------------------------------------------------------------------
 
-#: Inputs with a time zone, the only ones that make an instant.
+#: The two shapes of a date, both with a time zone, that make an instant.
 _ISO = r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(Z|[+-]\d\d:\d\d)$"
 _NGINX = r"^\d\d/[A-Za-z]{3}/\d{4}:\d\d:\d\d:\d\d ([+-]\d{4})$"
 NAMED = ("time", "date", "datetime", "unixtime-seconds", "unixtime-milliseconds", "unixtime-microseconds", "unixtime-nanoseconds")
-#: Pattern letters that Spark formats as java.time does; letters of a zone offset.
-_LETTERS, _OFFSETS = set("GyMLdDQqEaHhKkmsSF"), set("XxZO")
+#: Pattern letters that Spark formats as java.time does; letters of a zone, whose texts come from
+#: the offset; letters of plain numbers. Letters of a locale's weeks or day periods have no place.
+_LETTERS, _OFFSETS, _NUMBERS = set("GyMLdDQqEaHhKkmsSF"), set("XxZOVz"), set("unNAg")
+LETTERS = _LETTERS | _OFFSETS | _NUMBERS
 
 
 class PatternError(ValueError):
@@ -108,32 +111,66 @@ def _offset_as(letters: str, offset: Column) -> Column:
         out = plain
     elif kind == "O" and n == 4 or kind == "Z" and n == 4:
         return F.when(offset == "+00:00", F.lit("GMT")).otherwise(F.concat(F.lit("GMT"), plain))
-    else:
-        raise PatternError(f"Unsupported time zone pattern: {letters}")
+    else:  # V, z: an offset is its own name
+        return F.when(offset == "+00:00", F.lit("Z")).otherwise(plain)
     zero = kind == "X" or kind == "Z" and n == 5
     return F.when(offset == "+00:00", F.lit("Z")).otherwise(out) if zero else out
 
 
-def _pattern(pattern: str, local: Column, offset: Column) -> Column:
-    """``pattern`` of java.time, its offset letters filled in from ``offset``."""
-    pieces, buffer = [], ""
+def zone_letters(letters: str) -> bool:
+    """Whether java.time knows a run of so many letters of a zone, and an offset can fill it."""
+    return len(letters) in {"X": (1, 2, 3, 4, 5), "x": (1, 2, 3, 4, 5), "Z": (1, 2, 3, 4, 5), "O": (4,), "V": (2,), "z": (1, 2, 3, 4)}[letters[0]]
+
+
+def _number_as(letters: str, local: Column) -> Column:
+    """A plain number of the clock or calendar, filled with zeros to as many digits as letters."""
+    micros = F.unix_micros(local)
+    day = F.pmod(micros, F.lit(86_400_000_000))
+    if letters == "uu":
+        value = F.year(local) % 100
+    else:
+        value = {"u": F.year(local), "n": F.pmod(micros, F.lit(1_000_000)) * 1000, "N": day * 1000, "A": _div(day, 1000), "g": F.unix_date(local.cast("date")) + 40_587}[letters[0]]
+    digits = F.abs(value).cast("string")
+    filled = F.when(F.length(digits) < len(letters), F.lpad(digits, len(letters), "0")).otherwise(digits)
+    return F.concat(F.when(value < 0, F.lit("-")).otherwise(F.lit("")), filled)
+
+
+def check_pattern(pattern: str, now: bool = False) -> None:
+    """Raise PatternError for a pattern that ``time`` can't format. ``now``: it has no subject."""
+    for kind, text in _pieces(pattern):
+        if now and kind == "zone" and text[0] == "z":
+            raise PatternError("a date pattern can hold the letter z for a date after `in` only")
+
+
+def _pieces(pattern: str) -> list[tuple[str, str]]:
+    """The parts of a pattern: letters of a zone, letters of a plain number, what Spark formats."""
+    pieces: list[tuple[str, str]] = []
     for m in re.finditer(r"'(?:[^']|'')*'|([A-Za-z])\1*|[^A-Za-z']+", pattern):
-        letter = m[1]
-        if letter in _OFFSETS:
-            if buffer:
-                pieces.append(F.date_format(local, buffer))
-                buffer = ""
-            pieces.append(_offset_as(m[0], offset))
-        elif letter and letter not in _LETTERS:
-            raise PatternError(f"Unsupported letter in the date pattern: {letter}")
+        letter = m[1] or ""
+        if letter and letter not in LETTERS:
+            raise PatternError(f"a date pattern can't hold the letter {letter}")
+        kind = "zone" if letter in _OFFSETS else "number" if letter in _NUMBERS else "plain"
+        if letter and kind == "zone" and not zone_letters(m[0]):
+            raise PatternError(f"no such letters of a zone in a date pattern: {m[0]}")
+        if kind == "plain" and pieces and pieces[-1][0] == "plain":
+            pieces[-1] = (kind, pieces[-1][1] + m[0])
+        else:
+            pieces.append((kind if letter else "plain", m[0]))
+    return pieces
+
+
+def _pattern(pattern: str, local: Column, offset: Column, zone: str | None) -> Column:
+    """``pattern`` of java.time, its letters of a zone filled in from ``offset`` and the ``zone``'s name."""
+    out = []
+    for kind, text in _pieces(pattern):
+        if kind == "zone":
+            out.append(F.lit(zone) if zone and text[0] == "V" else _offset_as(text, offset))
         else:
-            buffer += m[0]
-    if buffer:
-        pieces.append(F.date_format(local, buffer))
-    return F.concat(*pieces) if pieces else F.lit("")
+            out.append(_number_as(text, local) if kind == "number" else F.date_format(local, text))
+    return F.concat(*out) if out else F.lit("")
 
 
-def format_time(fmt: str, local: Column, offset: Column) -> Column:
+def format_time(fmt: str, local: Column, offset: Column, zone: str | None = None) -> Column:
     """``fmt``: one of NAMED, or a pattern. ``local`` is shown as the clock stands there."""
     if fmt.startswith("unixtime-"):
         micros = F.unix_micros(local) - _offset_seconds(offset).cast("long") * 1_000_000
@@ -144,11 +181,11 @@ def format_time(fmt: str, local: Column, offset: Column) -> Column:
             return micros.cast("string")
         if fmt == "unixtime-nanoseconds":
             return (micros * 1000).cast("string")
-        raise PatternError(f"Unknown date format: {fmt}")
+        raise PatternError(f"there is no date format {fmt}")
     named = {"time": "HH:mm:ss", "date": "yyyy-MM-dd"}
     if fmt == "datetime":
         return F.concat(F.date_format(local, "yyyy-MM-dd'T'HH:mm:ss"), offset)
-    return _pattern(named.get(fmt, fmt), local, offset)
+    return _pattern(named.get(fmt, fmt), local, offset, zone)
 
 
 def time(fmt: str, subject: Column | None = None, now: Column | None = None, zone: str = "UTC") -> Column:
@@ -157,7 +194,9 @@ def time(fmt: str, subject: Column | None = None, now: Column | None = None, zon
     if subject is not None:
         local, offset = instant(subject)
         return F.coalesce(format_time(fmt, local, offset), F.lit(INVALID_DATE))
-    return format_time(fmt, *clock(now, zone))
+    if fmt not in NAMED:
+        check_pattern(fmt, now=True)
+    return format_time(fmt, *clock(now, zone), zone)
 
 
 def clock(now: Column | None = None, zone: str = "UTC") -> tuple[Column, Column]:

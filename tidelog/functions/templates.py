@@ -50,7 +50,7 @@ def parse_template(text: str, escapes: bool = True, references: bool = False) ->
     parts, buffer, i, n = [], [], 0, len(text)
 
     def bad(at: int) -> TemplateError:
-        return TemplateError(f"Char '{text[at]}' (offset {at}) is illegal as field name start: {text}")
+        return TemplateError(f"a field's name can't begin with '{text[at]}', at {at} in: {text}")
 
     def name_from(at: int) -> tuple[str, int]:
         to = at
@@ -89,7 +89,7 @@ def parse_template(text: str, escapes: bool = True, references: bool = False) ->
                 if to >= n:
                     buffer.append(text[i:])
                     break
-                raise TemplateError(f"Char '{text[to]}' (offset {to}) is illegal in field names: {text}")
+                raise TemplateError(f"a field's name can't hold '{text[to]}', at {to} in: {text}")
             parts += ["".join(buffer), name]
             buffer, i = [], to + 1
         else:

@@ -36,7 +36,7 @@ class Token:
 
 
 _LEXEMES = re.compile(r"(?P<space>\s+)|(?P<comment>#[^\n]*)|(?P<mark>[;{}])|(?P<string>'(?:\\.|[^'\\])*'|\"(?:\\.|[^\"\\])*\")|(?P<regexp>~[^~]*~[A-Za-z]*)|(?P<open>['\"~].*)|(?P<word>[^\s;{}'\"~#]+)", re.S)
-_UNCLOSED = {"'": "string literal", '"': "string literal", "~": "regexp"}
+_UNCLOSED = {"'": "string", '"': "string", "~": "regular expression"}
 
 
 def tokens(text: str, source: str = "config") -> list[Token]:
@@ -45,9 +45,9 @@ def tokens(text: str, source: str = "config") -> list[Token]:
         kind, value, place = m.lastgroup, m[0], f"[{source}:{line}]"
         line += value.count("\n")
         if kind == "open":
-            raise ConfigError(f"Unclosed {_UNCLOSED[value[0]]} detected: {value} {place}")
+            raise ConfigError(f"the {_UNCLOSED[value[0]]} has no end: {value} {place}")
         if kind == "regexp" and (wrong := value.rpartition("~")[2].strip(MODIFIERS)):
-            raise ConfigError(f"Invalid regexp modifier: {wrong[0]} {place}")
+            raise ConfigError(f"regular expressions have no modifier {wrong[0]} {place}")
         if kind == "mark":
             out.append(Token(value, value, place))
         elif kind not in ("space", "comment"):
@@ -83,17 +83,17 @@ def parse_tree(text: str, source: str = "config") -> list[Node]:
     for t in tokens(text, source):
         if t.kind == "{":
             if current is None:
-                raise ConfigError(f"Cannot parse token {{: {{ {t.place}")
+                raise ConfigError(f"a brace opens without a command {t.place}")
             stack.append(current.children)
             current = None
         elif t.kind == "}":
             if len(stack) == 1:
-                raise ConfigError(f"Invalid closing brace placement: }} {t.place}")
+                raise ConfigError(f"a brace closes that none has opened {t.place}")
             stack.pop()
             current = None
         elif t.kind == ";":
             if current is None:
-                raise ConfigError(f"Cannot parse token ;: ; {t.place}")
+                raise ConfigError(f"a semicolon ends no command {t.place}")
             current = None
         elif current is not None:
             current.args.append(t)
@@ -101,9 +101,9 @@ def parse_tree(text: str, source: str = "config") -> list[Node]:
             current = Node(t)
             stack[-1].append(current)
         else:
-            raise ConfigError(f"A command name is expected: {t.text} {t.place}")
+            raise ConfigError(f"a command can't begin with {t.text} {t.place}")
     if len(stack) > 1:
-        raise ConfigError(f"Invalid closing brace placement: the text ends within a block [{source}]")
+        raise ConfigError(f"the text ends within a block [{source}]")
     return stack[0]
 
 

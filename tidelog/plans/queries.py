@@ -116,6 +116,15 @@ def time_access_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transform("set $at date as 'dd/MM/yyyy HH.mm.ss Z' in $date; set $clock date as time in $date; set $ms date as unixtime-milliseconds in $date; set $us date as unixtime-microseconds in $date", df).select("event_id", "at", "clock", "ms", "us")
 
 
+@query("""SELECT CAST(event_id AS VARCHAR) AS event_id, strftime(ts, '%Y') || ' 0 ' || strftime(ts, '%y') AS year, CAST(datediff('day', DATE '1858-11-17', CAST(ts AS DATE)) AS VARCHAR) AS day,
+  lpad(CAST((hour(ts) * 3600 + minute(ts) * 60 + second(ts)) * 1000 AS VARCHAR), 9, '0') AS ms, '-03:30 at -03:30' AS zone FROM events""")
+def time_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Letters that Spark's own patterns don't know."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    e = e.select(F.col("event_id").cast("string").alias("event_id"), F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("-03:30")).alias("at"))
+    return transform("set $year date as 'uuuu n uu' in $at; set $day date as g in $at; set $ms date as AAAAAAAAA in $at; set $zone date as \"VV 'at' z\" in $at", e).select("event_id", "year", "day", "ms", "zone")
+
+
 @query(f"WITH {_EVENTS} SELECT event_id, '{fields.host()}' AS here, '' AS missing, '{fields.host()} ' || event_type AS line FROM e")
 def host_env(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = transform("set $here host; set $missing env TIDELOG_NO_SUCH_VARIABLE; set $line '$here $event_type'", _events(spark, sf_dir))
@@ -272,9 +281,9 @@ def syslog_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transform(text, _events(spark, sf_dir)).select("event_id", "date", "facility", "severity", "host", "program", "pid", "payload")
 
 
-@query(f"""WITH {_EVENTS} SELECT event_id, '23' AS facility, '6' AS severity, CASE WHEN event_type <> 'view' THEN 'vps' END AS host, event_type AS program, payload FROM e""")
+@query(f"""WITH {_EVENTS} SELECT event_id, '10' AS facility, '5' AS severity, CASE WHEN event_type <> 'view' THEN 'web-3' END AS host, event_type AS program, payload FROM e""")
 def syslog_bsd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = "switch $event_type { case view {set $payload '<190>Nov 25 13:46:44 $event_type: $payload'} default {set $payload '<190>Nov  5 13:46:44 vps $event_type: $payload'} } keep $event_id $payload; parse syslog"
+    text = "switch $event_type { case view {set $payload '<85>Mar 17 08:15:02 $event_type: $payload'} default {set $payload '<85>Mar  7 08:15:02 web-3 $event_type: $payload'} } keep $event_id $payload; parse syslog"
     return transform(text, _events(spark, sf_dir)).select("event_id", "facility", "severity", "host", "program", "payload")
 
 

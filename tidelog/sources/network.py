@@ -241,7 +241,7 @@ class Listeners:
     def tcp(self, address: tuple[str, int], framing: str = "line") -> Receiver:
         held = self._get(("tcp", *address), lambda p: TcpReceiver(address, framing, p, **self._args))
         if held.framing != framing:
-            raise FramingConflict(f"TCP listener for {address[0]}:{address[1]} cannot be both newline-terminated and syslog-frame")
+            raise FramingConflict(f"{address[0]}:{address[1]} is read as lines already, or as syslog-frame")
         return held
 
     def log(self) -> Receiver:
