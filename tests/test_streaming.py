@@ -133,3 +133,52 @@ def test_a_chunk_that_fits_no_buffer_is_lost_alone():
     while part := queue.take():
         got += part
     assert len(got) == 9 and queue.overflow == 3 and all(m["payload"] == b"y" for m in got)
+
+
+def test_a_replayed_batch_is_in_a_file_once(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    path = tmp_path / "logs" / "a.log"
+    frame = lambda *texts: spark.createDataFrame(list(enumerate(texts)), "_seq long, payload string")
+    put = lambda df, *writer, file=path: sinks.to_file(df, F.lit(str(file)), writer=writer or None)
+    put(frame("a", "b"), "s", "0", 1)
+    put(frame("c"), "s", "1", 1)  # two sinks of one stream
+    assert put(frame("a", "b"), "s", "0", 1) == 2
+    put(frame("c"), "s", "1", 1)
+    assert path.read_text() == "a\nb\nc\n"
+    put(frame("d"), "s", "0", 2)
+    put(frame("d"), "s", "0", 2)
+    assert path.read_text() == "a\nb\nc\nd\n"
+    put(frame("e"), "other", "0", 2)  # what another stream has appended stays, so d comes again
+    put(frame("d"), "s", "0", 2)
+    assert path.read_text() == "a\nb\nc\nd\ne\nd\n"
+    put(frame("f"), "s", "0", 3)
+    path.rename(tmp_path / "old.log")  # rotated between a batch and its replay
+    put(frame("f"), "s", "0", 3)
+    assert path.read_text() == "f\n"
+    put(frame("g"))
+    put(frame("g"))
+    assert path.read_text() == "f\ng\ng\n"
+
+
+def test_files_of_a_stream_have_journals(running, tmp_path):
+    e = running(f"from mock j; to file '{tmp_path}/j.log'; to file '{tmp_path}/j.log';")
+    e.listeners.memory("j").receive(b"once", "mock://")
+    assert wait(lambda: (tmp_path / "j.log").exists() and (tmp_path / "j.log").read_text() == "once\nonce\n")
+    assert e.queries[0].id in (tmp_path / ".j.log.journal").read_text()
+
+
+@pytest.mark.parametrize("limit", [0, 5, 64, 1000, 10**9])
+def test_survivors_over_ranges(spark, monkeypatch, limit):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(buffer, "RANGE", 4)
+    sizes = [(i, (i * 7) % 11) for i in range(100)]
+    df = spark.createDataFrame(sizes, "i long, n long")
+    got = sorted(r.i for r in buffer.survivors(df, F.col("i"), F.col("n"), limit, 3).collect())
+    held, kept = 0, {0, 33}
+    for chunk in range(32, 0, -1):
+        held += sum(n for i, n in sizes if i // 3 == chunk)
+        if held <= limit:
+            kept.add(chunk)
+    assert got == [i for i, _ in sizes if i // 3 in kept]

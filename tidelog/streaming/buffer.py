@@ -22,7 +22,7 @@ from pyspark.sql.window import Window
 from ..functions import packs
 from .metrics import Metrics
 
-DEFAULT_BYTES, DEFAULT_CHUNK = 128 << 20, 500
+DEFAULT_BYTES, DEFAULT_CHUNK, RANGE = 128 << 20, 500, 4096
 _LZ4, _log = pa.Codec("lz4_raw"), logging.getLogger("tidelog.buffer")
 
 
@@ -143,12 +143,16 @@ class Queue:
 def survivors(df: DataFrame, order: Column, size: Column, limit: int, chunk: int) -> DataFrame:
     """What a burst leaves: rows numbered by ``order`` in chunks of ``chunk``; the first and
     last chunk, and of those between the newest whose bytes fit ``limit``. Chunk sums come
-    first, so the ordered window is over chunks, not rows."""
+    first, and running sums within ranges of ``RANGE`` chunks: one task orders the ranges only."""
     numbered = df.withColumn("_chunk", F.floor(order / chunk))
     chunks = numbered.groupBy("_chunk").agg(F.sum(size).alias("_bytes"))
     ends = chunks.agg(F.min("_chunk").alias("_first"), F.max("_chunk").alias("_last"))
     chunks = chunks.crossJoin(F.broadcast(ends))  # ends: one row
     middle = chunks.where((F.col("_chunk") > F.col("_first")) & (F.col("_chunk") < F.col("_last")))
-    kept = middle.withColumn("_held", F.sum("_bytes").over(Window.orderBy(F.col("_chunk").desc()))).where(F.col("_held") <= limit).select("_chunk")
+    middle = middle.withColumn("_range", F.floor(F.col("_chunk") / RANGE))
+    newer = Window.orderBy(F.col("_range").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    before = middle.groupBy("_range").agg(F.sum("_bytes").alias("_whole")).select("_range", F.coalesce(F.sum("_whole").over(newer), F.lit(0)).alias("_newer"))
+    within = F.sum("_bytes").over(Window.partitionBy("_range").orderBy(F.col("_chunk").desc()))
+    kept = middle.join(before.where(F.col("_newer") <= limit), "_range").withColumn("_held", within + F.col("_newer")).where(F.col("_held") <= limit).select("_chunk")
     edge = chunks.where((F.col("_chunk") == F.col("_first")) | (F.col("_chunk") == F.col("_last"))).select("_chunk")
     return numbered.join(kept.unionByName(edge), "_chunk", "left_semi").drop("_chunk")

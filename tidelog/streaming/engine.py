@@ -90,7 +90,8 @@ def explain(spark: SparkSession, text: str, df: DataFrame) -> str:
     return "\n".join(parts)
 
 
-def deliver(sink: c.To, df: DataFrame, metrics: Metrics | None = None) -> int:
+def deliver(sink: c.To, df: DataFrame, metrics: Metrics | None = None, writer: tuple[str, str, int] | None = None) -> int:
+    """Serve one sink. ``writer``: see ``sinks.to_file``."""
     if sink.kind == "stdout":
         return sinks.to_stdout(df)
     if sink.kind == "dump":
@@ -102,7 +103,7 @@ def deliver(sink: c.To, df: DataFrame, metrics: Metrics | None = None) -> int:
             text = F.concat(prefix, F.replace(text, F.lit("\n"), F.concat(F.lit("\n"), prefix)))
         return sinks.to_stdout(df.withColumn("payload", text))
     if sink.kind == "file":
-        return sinks.to_file(df, sink.template.column(df), metrics)
+        return sinks.to_file(df, sink.template.column(df), metrics, writer)
     if sink.kind == "udp":
         return sinks.to_udp(df, sink.address, metrics)
     if sink.kind == "tcp":
@@ -168,8 +169,9 @@ class Engine:
                 parsed: list[tuple[DataFrame, DataFrame]] = []
                 lowering = Lowering(source, self.program.options, self.dialect, snapshots=self.metrics.snapshot, on_drop=lambda *pair: parsed.append(pair))
                 lowering.run(body)
-                for sink, out in lowering.sinks:
-                    deliver(sink, out, self.metrics)
+                stream = df.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")  # outlives restarts
+                for i, (sink, out) in enumerate(lowering.sinks):
+                    deliver(sink, out, self.metrics, stream and (stream, str(i), number))
                 if self.metrics.wanted:  # counted from the cached batch, and only if somebody reads it
                     for before, after in parsed:
                         self.metrics.add("unparsedDropped", before.count() - after.count())

@@ -7,6 +7,8 @@ one task's.
 
 from __future__ import annotations
 
+import fcntl
+import json
 import logging
 import os
 import shlex
@@ -47,26 +49,79 @@ def _report(sizes: list[int]) -> pd.DataFrame:
     return pd.DataFrame({"messages": [len(sizes)], "max_bytes": [max(sizes, default=0)], "total_bytes": [sum(sizes)]})
 
 
-def _write_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        sizes: list[int] = []
-        for name, group in batch.groupby("file", sort=False):
-            path = os.path.realpath(name)
-            try:
-                os.makedirs(os.path.dirname(path), exist_ok=True)
-                with open(path, "ab") as out:
-                    for p in group["payload"]:
-                        out.write(terminated(bytes(p)))
-                        sizes.append(len(p))
-            except OSError as e:  # logged, never fatal
-                _log.error("cannot write %s: %s", path, e)
-        yield _report(sizes)
+class _Appender:
+    """One file, locked while it is written. A journal beside it says where each writer began its
+    last batch; a writer that comes again with the same batch first cuts what it wrote then."""
+
+    def __init__(self, path: str, writer: tuple[str, str, int] | None, name: str):
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        self._held = [out := open(path, "ab")]
+        self.write = out.write
+        if writer is None:
+            return
+        self._held.append(journal := open(os.path.join(os.path.dirname(path), f".{os.path.basename(path)}.journal"), "a+"))
+        fcntl.flock(journal, fcntl.LOCK_EX)
+        journal.seek(0)
+        try:
+            began = json.load(journal)
+        except ValueError:  # new, or cut off by a crash
+            began = {}
+        stat = os.fstat(out.fileno())
+        stream, sink, number = writer
+        own, mine = f"{stream} {name}", f"{stream} {name} {sink}"
+        was, at, inode = began.get(mine, (None, 0, None))
+        later = [k for k, (_, offset, i) in began.items() if i == stat.st_ino and offset > at]
+        if was == number and inode == stat.st_ino and at <= stat.st_size and all(k.startswith(f"{own} ") for k in later):
+            out.truncate(at)
+            for k in later:
+                del began[k]
+        else:
+            began[mine] = [number, stat.st_size, stat.st_ino]
+        journal.seek(0)
+        journal.truncate()
+        json.dump(began, journal)
+        journal.flush()
+
+    def close(self) -> None:
+        for f in self._held:
+            f.close()
+
+
+def _write_files(writer: tuple[str, str, int] | None):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        name, out = None, None
+        try:
+            for batch in batches:
+                sizes: list[int] = []
+                for file, group in batch.groupby("file", sort=False):
+                    path = os.path.realpath(file)
+                    try:
+                        if file != name:  # rows come by file: one is open at a time
+                            if out is not None:
+                                out.close()
+                            name, out = file, None
+                            out = _Appender(path, writer, file)
+                        if out is None:
+                            continue
+                        for p in group["payload"]:
+                            out.write(terminated(bytes(p)))
+                            sizes.append(len(p))
+                    except OSError as e:  # logged, never fatal
+                        _log.error("cannot write %s: %s", path, e)
+                yield _report(sizes)
+        finally:
+            if out is not None:
+                out.close()
+
+    return run
 
 
-def to_file(df: DataFrame, name: Column, metrics: Metrics | None = None) -> int:
-    """Append each payload to the file that its message names."""
+def to_file(df: DataFrame, name: Column, metrics: Metrics | None = None, writer: tuple[str, str, int] | None = None) -> int:
+    """Append each payload to the file that its message names. ``writer``: the stream, the sink in
+    it and the number of the batch; what that batch has appended before is cut first, unless
+    another stream (or another name of the file) has appended after it."""
     rows = _payloads(df, name.alias("file")).repartition("file").sortWithinPartitions("file", "seq")
-    sent = _send(rows, _write_files)
+    sent = _send(rows, _write_files(writer))
     if metrics:
         metrics.transfer("toFile", *sent)
     return sent[0]
