@@ -9,7 +9,7 @@ from .test_streaming import wait
 def test_check_and_dump(capsys, tmp_path):
     assert main(["-t", "-q", "-c", "from timer; to stdout"]) == 0
     assert main(["-c", "from nowhere"]) == 1
-    assert "Cannot understand arguments of `from` command: from nowhere [arg:1]" in capsys.readouterr().err
+    assert "`from` knows no such source: from nowhere [arg:1]" in capsys.readouterr().err
     path = tmp_path / "p.conf"
     path.write_text("flow{from timer}")
     assert main(["--dump-plan", "-f", str(path)]) == 0

@@ -20,14 +20,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
+def registry(queries: dict, oracles: dict) -> Callable:
+    """A decorator that registers a query by its name, with its SQL."""
+
+    def query(sql: str | None):
+        def register(f):
+            queries[f.__name__] = f
+            if sql is not None:
+                oracles[f.__name__] = sql
+            return f
+
+        return register
+
+    return query
+
+
+query = registry(QUERIES, ORACLES)
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,6 +37,12 @@ def configured(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``, where that is a path; a folder of this machine otherwise."""
+    shared = (spark.conf.get("spark.checkpoint.dir", None) or "").removeprefix("file://").rstrip("/")
+    return shared if shared and "://" not in shared else tempfile.mkdtemp(prefix="tidelog-")
+
+
 def validate(text: str, spark: SparkSession | None = None, dialect: c.Dialect | None = None) -> str | None:
     """The error of a pipeline text, or None."""
     try:
@@ -118,8 +124,7 @@ class Engine:
 
     def __init__(self, spark: SparkSession, text: str, work: str | None = None, dialect: c.Dialect | None = None, trigger: str = "200 milliseconds", table_stream: Callable[[str], DataFrame] | None = None):
         self.spark, self.dialect, self.trigger, self.table_stream = configured(spark), dialect or c.Dialect(), trigger, table_stream
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        self.work = work or (f"{shared.removeprefix('file://').rstrip('/')}/engine-{uuid.uuid4().hex[:12]}" if shared and "://" not in shared.removeprefix("file://") else tempfile.mkdtemp(prefix="tidelog-engine-"))
+        self.work = work or f"{shared_folder(spark)}/engine-{uuid.uuid4().hex[:12]}"
         self.metrics, self.queries, self.server, self._served, self._generation = Metrics(spark), [], None, None, 0
         self.program = c.read_program(text, dialect=self.dialect, spark=spark)
         o = self.program.options
