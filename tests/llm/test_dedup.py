@@ -129,6 +129,37 @@ def test_a_large_bucket_takes_several_rounds(spark):
     assert out == classes(rows)
 
 
+def test_pairs_of_long_texts_below_the_similarity_are_excluded_unread(spark, monkeypatch):
+    base, rows, read = words(1000, 3, 10**6), [], 0
+    for i in range(80):  # two groups, each of similar texts; a text and one of the other group are 0.7 similar
+        w = list(base)
+        w[: 35 * (i % 2) * 5 : 5] = words(35 * (i % 2), 4, 10**6)
+        w[700 + 2 * i] = f"e{i}"
+        rows.append((i, " ".join(w)))
+
+    def stored(df, name, *rest, f=nd.common.stored):
+        nonlocal read
+        out = f(df, name, *rest)
+        read += out.where("a % 2 <> b % 2").count() if name == "compared" else 0
+        return out
+
+    monkeypatch.setattr(nd.common, "stored", stored)
+    out = {r.doc_id: r.class_id for r in nd.near_duplicates(docs(spark, rows)).collect()}
+    assert out == classes(rows) == {i: i % 2 for i in range(80)}
+    assert read < 40  # of 1600 pairs between the groups
+
+
+def test_bitmaps_differ_in_no_more_bits_than_sets_in_elements():
+    rng = np.random.default_rng(2)
+    value = rng.integers(0, 2**63, 6000).astype(np.uint64)
+    off = np.array([0, 0, 500, 1500, 6000])
+    sets = np.arange(4)
+    assert [len(x) for x in nd.wide_parity(value, off, sets, 0)] == [0, 0, 16, 128]
+    assert [len(x) for x in nd.wide_parity(value, off, sets, 1)] == [0, 0, 0, 64]
+    a, b = (nd.parity(value, np.array([0, n]), np.arange(1), 1024).view(np.uint64) for n in (1000, 900))
+    assert 60 < int(np.bitwise_count(a ^ b).sum()) <= 100
+
+
 def test_weights_are_counts(spark):
     line, other = words(40, 1), words(40, 2)
     rows = [(1, " ".join(line * 9 + other)), (2, " ".join(line * 2 + other)), (3, " ".join(line * 8 + other)), (4, "a " * 3000), (5, "a " * 2900), (6, "a " * 1000)]

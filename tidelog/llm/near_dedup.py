@@ -20,7 +20,9 @@ representatives leave the bucket. The bucket's largest component offers none: wh
 others have been compared with everything, the bucket is done. A comparison that can't
 reach the similarity leaves no row: sizes bound it, and so does the parity bitmap of each
 set (an element flips a bit): the bits in which two bitmaps differ are no more than the
-elements in which the sets do. Rounds go on until no bucket holds two components, so
+elements in which the sets do. A bitmap is as wide as its set is large, as a full one tells
+nothing: all sets have one of 512 bits, larger ones also one of a bit or two for each element
+and one of half that width, so that sets of similar sizes have a width in common. Rounds go on until no bucket holds two components, so
 every candidate pair is compared, is excluded by a bound, or is connected already.
 
 Defined results: a document without words (null, empty, blank) is a class of its own; a
@@ -48,7 +50,7 @@ K_WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 40, 7
 OFFERS = (4, 4096)
 #: Up to so many links (16 bytes each) are connected in one task; more by propagation.
 TASK_LINKS = 500_000
-#: 64-bit words of a parity bitmap.
+#: 64-bit words of the parity bitmap that all sets have.
 BITMAP = 8
 #: Cells of darts that are made at once.
 CELLS = 1 << 18
@@ -125,6 +127,30 @@ def occurrences(value: np.ndarray, times: np.ndarray, off: np.ndarray) -> tuple[
     return out, ends[off]
 
 
+def parity(value: np.ndarray, off: np.ndarray, sets: np.ndarray, width: int) -> np.ndarray:
+    """(sets, width / 64) longs: the parity bitmaps of some of the sets, ``width`` bits (a power of two) each."""
+    size = off[sets + 1] - off[sets]
+    ends = np.cumsum(size)
+    at = np.repeat(off[sets] - (ends - size), size) + np.arange(size.sum())
+    spot = (mix(value[at] ^ U(0x452821E638D01377)) % U(width)).astype(np.int64)
+    flips = np.bincount(np.repeat(np.arange(len(sets)), size) * width + spot, minlength=len(sets) * width) & 1
+    return np.packbits(flips.astype(np.uint8).reshape(-1, 8), axis=1).reshape(-1).view(np.int64).reshape(-1, width // 64)
+
+
+def wide_parity(value: np.ndarray, off: np.ndarray, sets: np.ndarray, halves: int) -> pa.ListArray:
+    """Bitmaps as wide as the next power of two from the set's size, over 2**halves; empty where the
+    one of BITMAP words is no narrower."""
+    size = off[sets + 1] - off[sets]
+    width = np.array([1 << max(0, int(n) - 1).bit_length() >> halves for n in size], np.int64)
+    width[width <= 64 * BITMAP] = 0
+    ends = np.concatenate([[0], np.cumsum(width // 64)])
+    out = np.zeros(ends[-1], np.int64)
+    for w in np.unique(width[width > 0]):
+        some = np.flatnonzero(width == w)
+        out[ends[some][:, None] + np.arange(w // 64)] = parity(value, off, sets[some], int(w))
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(out))
+
+
 def _signatures(k_words: int, bands: int, rows: int, weighted: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.steps(batches):
@@ -140,12 +166,10 @@ def _signatures(k_words: int, bands: int, rows: int, weighted: bool):
                 np.cumsum(mix(value ^ salt), out=run_sum[1:])
                 sums.append(run_sum[off[1:]] - run_sum[off[:-1]])
             ids = b.column("doc_id").to_numpy(zero_copy_only=False)[keep]
-            wide = 64 * BITMAP
-            flips = np.bincount(np.repeat(np.arange(len(n)), n) * wide + (mix(value ^ U(0x452821E638D01377)) % U(wide)).astype(np.int64), minlength=len(n) * wide) & 1
-            bits = np.packbits(flips.astype(np.uint8).reshape(-1, 8), axis=1).reshape(len(n), wide // 8)[keep].reshape(-1).view(np.int64)
+            bits = parity(value, off, keep, 64 * BITMAP).reshape(-1)
             maps = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(keep) + 1) * BITMAP, BITMAP, dtype=np.int32)), pa.array(bits))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(keep) + 1) * bands, bands, dtype=np.int32)), pa.array(common.as_long(keys.reshape(-1))))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(common.as_long(sums[0][keep])), pa.array(common.as_long(sums[1][keep])), pa.array(n[keep].astype(np.int64)), lists, maps], names=["doc_id", "s1", "s2", "n", "keys", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(common.as_long(sums[0][keep])), pa.array(common.as_long(sums[1][keep])), pa.array(n[keep].astype(np.int64)), lists, maps, wide_parity(value, off, keep, 0), wide_parity(value, off, keep, 1)], names=["doc_id", "s1", "s2", "n", "keys", "bits", "wide", "half"])
 
     return run
 
@@ -228,11 +252,19 @@ def _mark(key: Column) -> Column:
     return key.bitwiseAND(0x7FFFFFFF).cast("int")
 
 
+def _wide_apart() -> Column:
+    """The bits in which the bitmaps of the widest common width differ; 0 where none but the least is common."""
+    x = F.when(F.size("wide") <= F.size("hub_wide"), F.col("wide")).otherwise(F.col("half"))
+    y = F.when(F.size("hub_wide") <= F.size("wide"), F.col("hub_wide")).otherwise(F.col("hub_half"))
+    bits = F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q)))  # null beyond the shorter one
+    return F.coalesce(F.aggregate(bits, F.lit(0), lambda n, m: n + m), F.lit(0))
+
+
 def near_duplicates(docs: DataFrame, k_words: int = K_WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, weighted: bool = True, offers: Sequence[int] = OFFERS) -> DataFrame:
     """(doc_id, class_id): class_id is the smallest doc_id that links of at least
     ``similarity`` connect with the document."""
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = common.stored(ids.where("doc_id is not null").mapInArrow(_signatures(k_words, bands, rows, weighted), "doc_id long, s1 long, s2 long, n long, keys array<long>, bits array<long>"), "signatures")
+    signed = common.stored(ids.where("doc_id is not null").mapInArrow(_signatures(k_words, bands, rows, weighted), "doc_id long, s1 long, s2 long, n long, keys array<long>, bits array<long>, wide array<long>, half array<long>"), "signatures")
     one = signed.groupBy("doc_id").agg(F.min(F.struct("s1", "s2", "n")).alias("s"), F.count(F.lit(1)).alias("rows")).select("doc_id", "s.*", "rows")
     one = common.stored(one, "documents")
     n_docs = one.count()
@@ -243,7 +275,7 @@ def near_duplicates(docs: DataFrame, k_words: int = K_WORDS, similarity: float =
     own = common.stored(own, "representatives", n_docs)
     keyed = own.select("rep", "n", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("key")
-    bitmaps = own.groupBy("rep").agg(*[F.first(F.col("bits")[i]).alias(f"b{i}") for i in range(BITMAP)], F.first(F.transform("keys", _mark)).alias("marks"))
+    bitmaps = own.groupBy("rep").agg(*[F.first(F.col("bits")[i]).alias(f"b{i}") for i in range(BITMAP)], F.first("wide").alias("wide"), F.first("half").alias("half"), F.first(F.transform("keys", _mark)).alias("marks"))
     bucket = common.stored(keyed.join(shared, "key").distinct().join(bitmaps, "rep"), "buckets", 8 * n_docs)
     comp, size = None, bucket.count()
     involved = bucket.select(F.col("rep").alias("doc_id")).distinct()
@@ -252,7 +284,8 @@ def near_duplicates(docs: DataFrame, k_words: int = K_WORDS, similarity: float =
     if not one.where("rows > 1").isEmpty():
         sets = sets.join(rep.select(F.col("rep").alias("doc_id"), "s1"), ["doc_id", "s1"], "left_semi").groupBy("doc_id").agg(F.first("elements").alias("elements"))
     sets = common.stored(sets.select("doc_id", "elements"), "elements", size)
-    bits, carried = [f"b{i}" for i in range(BITMAP)], [*[f"b{i}" for i in range(BITMAP)], "marks"]
+    bits, wide = [f"b{i}" for i in range(BITMAP)], ["wide", "half"]
+    carried = [*bits, *wide, "marks"]
     for turn in itertools.count():
         at = bucket.withColumn("comp", F.col("rep")) if comp is None else bucket.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
         sized = at.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
@@ -261,14 +294,15 @@ def near_duplicates(docs: DataFrame, k_words: int = K_WORDS, similarity: float =
         if at.isEmpty():
             break
         slot = F.pmod(F.xxhash64("rep"), F.lit(offers[min(turn, len(offers) - 1)]))
-        offered = at.where("comp <> largest").groupBy("key", slot.alias("slot")).agg(F.min(F.struct("m", F.xxhash64("rep").alias("h"), "rep", "comp", "n", *bits)).alias("o"))
-        offered = common.stored(offered.select("key", F.col("o.rep").alias("hub"), F.col("o.comp").alias("hub_comp"), F.col("o.n").alias("hub_n"), *[F.col(f"o.{x}").alias(f"hub_{x}") for x in bits]), "offered", size)
+        offered = at.where("comp <> largest").groupBy("key", slot.alias("slot")).agg(F.min(F.struct("m", F.xxhash64("rep").alias("h"), "rep", "comp", "n", *bits, *wide)).alias("o"))
+        offered = common.stored(offered.select("key", F.col("o.rep").alias("hub"), F.col("o.comp").alias("hub_comp"), F.col("o.n").alias("hub_n"), *[F.col(f"o.{x}").alias(f"hub_{x}") for x in [*bits, *wide]]), "offered", size)
         # a pair is compared once a round, in the least of the buckets that offer the one and hold the other
         everywhere = offered.groupBy("hub").agg(F.collect_set(_mark(F.col("key"))).alias("hub_marks"))
         once = _mark(F.col("key")) == F.array_min(F.array_intersect("marks", "hub_marks"))
         # |x - y| + |y - x| <= (1 - s) / (1 + s) * (|x| + |y|) for a similarity of at least s
         apart = sum((F.bit_count(F.col(x).bitwiseXOR(F.col(f"hub_{x}"))) for x in bits[1:]), F.bit_count(F.col(bits[0]).bitwiseXOR(F.col(f"hub_{bits[0]}"))))
-        near = (F.col("comp") != F.col("hub_comp")) & (F.least("n", "hub_n") >= similarity * F.greatest("n", "hub_n")) & (apart <= (1 - similarity) / (1 + similarity) * (F.col("n") + F.col("hub_n")) + 1e-6) & once
+        most = (1 - similarity) / (1 + similarity) * (F.col("n") + F.col("hub_n")) + 1e-6
+        near = (F.col("comp") != F.col("hub_comp")) & (F.least("n", "hub_n") >= similarity * F.greatest("n", "hub_n")) & (apart <= most) & once & (_wide_apart() <= most)
         pairs = at.join(offered.join(everywhere, "hub"), "key").where(near).select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
         checked = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("elements").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("elements").alias("y")), "b")
         compared = common.stored(checked.mapInArrow(_verify, "a long, b long, s double"), "compared", size)
