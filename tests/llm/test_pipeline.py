@@ -1,8 +1,9 @@
+import os
 from collections import Counter
 
 import corpus_pipeline as pipeline
 
-from tidelog.llm import queries
+from tidelog.llm import common, queries
 from tidelog.llm.near_dedup import near_duplicates
 
 from .helpers import docs, words
@@ -68,6 +69,18 @@ def test_pipeline_of_nothing(spark, tmp_path):
     assert pipeline.run(spark, str(tmp_path)).collect() == []
 
 
+def test_scratch_tables_hold_nothing_but_rows(spark, tmp_path):
+    rows = spark.range(7).repartition(3)
+    for df in (rows, rows.limit(0), spark.createDataFrame([], "id long")):
+        t = common.stored(df, "t")
+        assert Counter(t.collect()) == Counter(df.collect())
+        folder = common._held[spark.sparkContext.applicationId][-1].removeprefix("file:")
+        # a marker, and the folders that the writer would make, are a process of the driver each
+        assert {x for x in os.listdir(folder) if not x.endswith((".parquet", ".crc"))} == set()
+    common.made(spark, f"file:{tmp_path}/new")
+    assert os.path.isdir(tmp_path / "new" / "_temporary" / "0")
+
+
 def test_registry():
     names = list(queries.queries())
     assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))

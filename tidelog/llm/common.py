@@ -54,13 +54,25 @@ def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     if rows is not None:
         df = df.coalesce(max(spark.sparkContext.defaultParallelism, -(-rows // ROWS_PER_TASK)))
     path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    made(spark, path)
+    # the path is new, so appending is writing; nothing asks for the marker of success
+    df.write.mode("append").option("compression", "zstd").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
     _held.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def made(spark: SparkSession, path: str) -> None:
+    """The folders that a write to ``path`` begins with, where ``path`` is a folder of this machine.
+    Hadoop starts a process (chmod) on the driver for each folder and file that it makes there
+    itself, and until that runs its own program it counts as a second driver of the same memory."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getScheme() == "file":
+        jvm.java.io.File(p.toUri().getPath(), "_temporary/0").mkdirs()
+
+
 #: Paths of stored tables by application.
 _held: dict[str, list[str]] = {}
 
