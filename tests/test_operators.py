@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -264,6 +265,34 @@ def test_framing():
     assert network.split_lines(b"a\r\nb\n\nc") == ([b"a", b"b", b""], b"c")
 
 
+def _blobs():
+    r = random.Random(7)
+    frame = lambda d: str(len(d)).encode() + b" " + d
+    fixed = [b"", b" ", b"0 ", b"1 ", b"1 a", b"zz2 ab", b"3 abc12 hello world!0 x4 ab", b"5 abc", b"\n2 ab", b"2 \xc3\xa9 2 \xff\x00", b"7" * 33, b"7" * 64 + b"x3 abc", b"0" * 100 + b"5 hello1 a"]
+    fixed += [b"x" * n + tail + b"2 ab3 a" for n in (30, 31, 32, 33, 64, 500) for tail in (b"", b"1", b"\xff")]
+    fixed.append(b"".join(frame(b"%d" % i) for i in range(3000)))
+    noise = [bytes(r.choice(b"00123 ax\n\xff") for _ in range(r.randrange(200))) for _ in range(150)]
+    mixed = [b"".join(r.choice([b"", b"junk", b"0" * 40, b"9" * 50 + b"z"]) + frame(bytes(r.randrange(256) for _ in range(r.choice([0, 1, 40, 300])))) for _ in range(r.randrange(60)))[: r.choice([-7, -1, None])] for _ in range(150)]
+    return fixed + noise + mixed
+
+
+def test_frames_of_blobs(spark):
+    blobs = [*_blobs(), None]
+    df = spark.createDataFrame(list(enumerate(blobs)), "id long, blob binary")
+    got = network.frames(df, "blob").select("id", model.SEQ, F.col("payload").cast("binary").alias("payload")).collect()
+    wanted = [(i, at, f) for i, b in enumerate(blobs) if b is not None for at, f in enumerate(network.split_frames(b)[0])]
+    assert sorted((r["id"], r[model.SEQ], bytes(r["payload"])) for r in got) == wanted
+
+
+def test_frames_take_no_python_on_executors(spark):
+    """A worker's memory grew with its batches of blobs and frames."""
+    blob = F.concat(F.repeat(F.lit("0"), F.lit(5000)), F.lit("3 ab"), F.col("id").cast("string")).cast("binary")
+    found = network.frames(spark.range(3).select("id", blob.alias("blob")), "blob")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and plan.count("aggregate(") == 2  # two levels, once
+    assert sorted(r["payload"] for r in found.collect()) == ["ab0", "ab1", "ab2"]
+
+
 def test_tables(spark):
     rows = tables.timer(spark, 3, 30).collect()
     assert [r["program"] for r in rows] == ["tidelog"] * 3 and all(len(r["payload"].split()) >= 5 for r in rows)

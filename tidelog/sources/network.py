@@ -14,20 +14,21 @@ import socket
 import threading
 import time
 import uuid
+from collections.abc import Callable
 from datetime import datetime
 from pathlib import Path
 from zoneinfo import ZoneInfo
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import model
 from ..streaming.buffer import Buffer, Queue
 from ..streaming.metrics import Metrics
 
 MAX_DATAGRAM = 65507
+#: Bytes that are searched at once for the space after a frame's length, and most steps of a block (see ``_frames_of``).
+HEADER, BLOCK = 32, 1024
 SCHEMA = f"{model.SEQ} long, date string, `from` string, payload binary, program string, severity string"
 
 
@@ -265,15 +266,64 @@ def spooled(spark: SparkSession, path: str, stream: bool = True) -> DataFrame:
     return reader.schema(SCHEMA).json(path).withColumn("payload", F.col("payload").cast("string"))
 
 
-@F.pandas_udf(T.ArrayType(T.BinaryType()))
-def _frames_of(blob: pd.Series) -> pd.Series:
-    return blob.map(lambda b: split_frames(bytes(b))[0] if b is not None else [])
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once (and, if binary, not copied at each use)."""
+    return F.transform(F.array(value), then)[0]
+
+
+def _frames_of(blob: Column) -> Column:
+    """array<binary> of the complete frames of a blob, as ``split_frames`` finds them. A step reads
+    up to the space after a length, or ``HEADER`` bytes without one: a byte at least. The places
+    of frames are binary (ten digits each for start and length), as arrays in an aggregate's state
+    are copied at each step; steps go in blocks, as adding to a binary copies that, too."""
+    state = lambda at, digits, found: F.struct(at.cast("long").alias("at"), digits.alias("digits"), found.alias("found"))
+    blank, none = F.lit(""), F.lit("").cast("binary")
+
+    def step(b: Column, s: Column) -> Column:
+        def after(head: Column, word: Column, n: Column) -> Column:
+            start, size = s["at"] + F.length(word) + 1, F.when(n == "", F.lit(0)).otherwise(n.cast("long"))
+            place = F.concat(F.lpad(start.cast("string"), 10, "0"), F.lpad(size.cast("string"), 10, "0")).cast("binary")
+            spaced = F.length(word) < F.length(head)
+            more = F.when(~spaced & (F.length(head) == HEADER), state(s["at"] + HEADER, n, s["found"]))
+            more = more.when(spaced & (start + size <= F.octet_length(b)), state(start + size, blank, F.when(size > 0, F.concat(s["found"], place)).otherwise(s["found"])))
+            return more.otherwise(state(F.octet_length(b), blank, s["found"]))
+
+        def length(word: Column) -> Column:
+            digits = F.regexp_extract(word, r"[0-9]*\z", 0)
+            joined = F.when(F.length(digits) == F.length(word), F.concat(s["digits"], digits)).otherwise(digits)
+            # twelve digits without leading zeros are more bytes than a blob has, whatever follows
+            return F.substring(F.regexp_replace(joined, "^0+", ""), 1, 12)
+
+        head = F.decode(F.substring(b, s["at"].cast("int") + 1, F.lit(HEADER)), "ISO-8859-1")
+        return _let(head, lambda h: _let(F.regexp_extract(h, "^[^ ]*", 0), lambda w: _let(length(w), lambda n: after(h, w, n))))
+
+    def until_read(b: Column, n: Column, begin: Column, one: Callable[[Column], Column]) -> Column:
+        return F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), n)), begin, lambda s, _: F.when(s["at"] >= F.octet_length(b), s).otherwise(one(s)))
+
+    def block(b: Column, s: Column, steps: Column) -> Column:
+        joined = lambda t: state(t["at"], t["digits"], F.when(t["found"] == none, s["found"]).otherwise(F.concat(s["found"], t["found"])))
+        return _let(until_read(b, steps, state(s["at"], s["digits"], none), lambda t: step(b, t)), joined)
+
+    def cut(b: Column, found: Column) -> Column:
+        number = lambda i, at: F.substring(found, i * 20 + at, F.lit(10)).cast("string").cast("int")
+        cells = F.transform(F.sequence(F.lit(0), (F.octet_length(found) / 20).cast("int") - 1), lambda i: F.substring(b, number(i, 1) + 1, number(i, 11)))
+        return F.when(found != none, cells)
+
+    def whole(b: Column) -> Column:
+        steps = F.least(F.lit(BLOCK), F.ceil(F.sqrt(F.octet_length(b))).cast("int"))
+        blocks = F.ceil(F.octet_length(b) / F.greatest(F.lit(1), steps)).cast("int")
+        return _let(until_read(b, blocks, state(F.lit(0), blank, none), lambda s: block(b, s, steps))["found"], lambda found: cut(b, found))
+
+    return _let(blob, whole)
 
 
 def frames(df: DataFrame, column: str) -> DataFrame:
     """Batch replay of octet-counted frames: one message for each frame of a binary blob."""
-    cells = df.withColumn("_frames", _frames_of(F.col(column).cast("binary")))
-    return cells.select(*[c for c in df.columns if c != column], F.posexplode("_frames").alias("_at", "_frame")).select(*[c for c in df.columns if c != column], F.col("_at").cast("long").alias(model.SEQ), F.col("_frame").cast("string").alias("payload"))
+    rest = [c for c in df.columns if c != column]
+    cells = df.select(*rest, _frames_of(F.col(column).cast("binary")).alias("_frames"))
+    # an inner Generate would have a filter inferred, with all of the expression in it twice more
+    found = cells.select(*rest, F.posexplode_outer("_frames").alias("_at", "_frame")).where("_at is not null")
+    return found.select(*rest, F.col("_at").cast("long").alias(model.SEQ), F.col("_frame").cast("string").alias("payload"))
 
 
 def lines(df: DataFrame, column: str) -> DataFrame:
